@@ -6,6 +6,8 @@ from importlib import import_module
 
 _MODULES = {
     "op3_exact_dedup": "exact_dedup",
+    "op5_packing": "packing",
+    "op10_bpe": "bpe",
     "op4_sharding": "sharding",
     "op9_line_dedup": "line_dedup",
 }
