@@ -43,8 +43,8 @@ def empty_if_null(column: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows evenly over the shuffle partitions where the input has fewer: small files hold many rows."""
-    n = partitions(df.sparkSession)
+    """Deals rows evenly over the cores where the input has fewer splits: small files may hold many rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
