@@ -9,6 +9,7 @@ _MODULES = {
     "op5_packing": "packing",
     "op10_bpe": "bpe",
     "op4_sharding": "sharding",
+    "op7_pii": "pii",
     "op9_line_dedup": "line_dedup",
 }
 
