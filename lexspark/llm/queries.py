@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op2_toxicity": "toxicity",
+    "op6_quality": "quality",
     "op3_exact_dedup": "exact_dedup",
     "op5_packing": "packing",
     "op10_bpe": "bpe",
