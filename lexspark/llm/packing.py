@@ -8,21 +8,21 @@ multiplicities; documents get their places from their rank among those of equal
 from __future__ import annotations
 
 import functools
-import os
+import json
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, spread, table
-from .pretokens import PieceCache
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -146,18 +146,15 @@ def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
 
 
 @functools.lru_cache(maxsize=2)  # for the life of a Python worker, not of a task
-def piece_ids(tokenizer_path: str) -> PieceCache:
-    """Chunk -> its ids as little-endian unsigned 32-bit."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return PieceCache(public_tokenizers.PATTERN, encode, b"".join)
+def encoder(tokenizer_path: str) -> Callable[[str], list[int]]:
+    """text -> ids of a byte-level BPE given as JSON. Its ids stand in the order of its merges, so they serve as ranks."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    # byte-level files write bytes as printable characters: those of Latin-1 as themselves, the rest from 256 on, in order
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if all(c in letters for c in word)}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -168,23 +165,20 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = piece_ids(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                out = []
-                for key, values in zip(part.column(0).to_pylist(), cache.texts([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    data = b"".join(values) + end
-                    n = len(data) // 4
-                    stop = (n - 1) % size + 1
-                    start, k = 0, 0
-                    while start < n:
-                        out.append((key, k, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
-                        start, stop, k = stop, stop + size, k + 1
-                columns = list(zip(*out, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text or "")
+                ids.append(end_id)
+                data, n = np.array(ids, dtype="<u4").tobytes(), len(ids)
+                start, stop, k = 0, (n - 1) % size + 1, 0
+                while start < n:
+                    out.append((key, k, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
+                    start, stop, k = stop, stop + size, k + 1
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 import regex
@@ -16,65 +16,77 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _GAP = re.compile(r"\s\s|^\s|\s$")
 
 
+class Cache(dict):
+    """A dictionary of bounded size in two generations: entries met again while in the older one move to the newer."""
+
+    def __init__(self, limit: int):
+        self.limit, self.older = limit // 2, {}
+
+    def __missing__(self, key: str) -> Any:
+        value = self.older.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def add(self, items: Iterable[tuple[str, Any]]) -> None:
+        self.update((k, v) for k, v in items if len(k) <= 48)
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceCache:
     """Maps texts to lists of values, one per chunk: a chunk is what stands between lone spaces, with the space before.
 
-    encode(pieces) gives a value for each of the pattern's matches; join(values) the value of a chunk. Caches are
-    emptied when they hold `limit` entries, which bounds memory and changes no result.
+    encode(pieces) gives a value for each of the pattern's matches; join(values) the value of a chunk. Values are kept in
+    caches of bounded size.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[Any]], join: Callable[[list[Any]], Any], limit: int = 300_000):
-        self.pattern, self.encode, self.join, self.limit = regex.compile(pattern), encode, join, limit
-        self.chunks: dict[str, Any] = {}
-        self.pieces: dict[str, Any] = {}
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[Any]], join: Callable[[list[Any]], Any], limit: int = 500_000):
+        self.pattern, self.encode, self.join = regex.compile(pattern), encode, join
+        self.chunks, self.pieces = Cache(limit), Cache(2 * limit)
 
     def split(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk) if _UNUSUAL.search(chunk) else _QUICK.findall(chunk)
 
     def texts(self, texts: list[str]) -> list[list[Any]]:
-        cut = []
+        cut: list[list[str]] = []
+        out: list[list[Any]] = []
         missing: set[str] = set()
-        got, once = [], {}
+        first: list[str] = []
+        get = self.chunks.__getitem__
         for text in texts:
             if not text:
-                cut.append(())
-                got.append([])
-                continue
-            if _UNUSUAL.search(text):
-                once[text] = None
-                cut.append((text,))
-                got.append([None])
-                continue
-            own = _CUT.split(text) if _GAP.search(text) else text.split(" ")
-            values = list(map(self.chunks.get, own))
-            values[0] = None
-            once[own[0]] = None
-            missing.update(c for c, v in zip(own, values, strict=True) if v is None)
+                own, values = [], []
+            elif _UNUSUAL.search(text):
+                own, values = [], self._values([self.pattern.findall(text)])
+            else:
+                own = _CUT.split(text) if _GAP.search(text) else text.split(" ")
+                values = list(map(get, own))
+                values[0] = None
+                first.append(own[0])
+                missing.update([c for c, v in zip(own, values, strict=True) if v is None])
             cut.append(own)
-            got.append(values)
-        new = self._values([" " + c for c in missing])
-        fresh = dict(zip(missing, new, strict=True))
-        first = dict(zip(once, self._values(list(once)), strict=True))
-        for own, values in zip(cut, got, strict=True):
-            for i, v in enumerate(values):
-                if v is None:
-                    values[i] = first[own[0]] if i == 0 else fresh[own[i]]
-        if len(self.chunks) + len(fresh) > self.limit:
-            self.chunks.clear()
-        self.chunks.update((c, v) for c, v in fresh.items() if len(c) <= 48)
-        return got
-
-    def _values(self, chunks: list[str]) -> list[Any]:
-        cut = [self.split(c) for c in chunks]
+            out.append(values)
+        opening = iter(self._values([_QUICK.findall(c) for c in first]))
+        chunks = list(missing)
+        fresh = dict(zip(chunks, self._values([[" " + c] if c.isalpha() else _QUICK.findall(" " + c) for c in chunks]), strict=True))
+        for own, values in zip(cut, out, strict=True):
+            if own:
+                values[0] = next(opening)
+                if None in values:
+                    values[:] = [fresh[c] if v is None else v for c, v in zip(own, values, strict=True)]
+        self.chunks.add(fresh.items())
+        return out
+
+    def _values(self, cut: list[list[str]]) -> list[Any]:
         kept, join = self.pieces, self.join
-        if len(kept) > 2 * self.limit:
-            kept.clear()
-        missing = list({p for own in cut for p in own}.difference(kept))
+        distinct = list({p for own in cut for p in own})
+        known = dict(zip(distinct, map(kept.__getitem__, distinct), strict=True))
+        missing = [p for p, v in known.items() if v is None]
         if missing:
-            kept.update(zip(missing, self.encode(missing), strict=True))
-        get = kept.__getitem__
-        out = [get(own[0]) if len(own) == 1 else join(list(map(get, own))) for own in cut]
-        for p in missing:
-            if len(p) > 48:
-                del kept[p]
-        return out
+            fresh = list(zip(missing, self.encode(missing), strict=True))
+            known.update(fresh)
+            kept.add(fresh)
+        get = known.__getitem__
+        return [get(own[0]) if len(own) == 1 else join(list(map(get, own))) for own in cut]
