@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_minhash_dedup": "minhash_dedup",
     "op2_toxicity": "toxicity",
     "op6_quality": "quality",
     "op3_exact_dedup": "exact_dedup",
