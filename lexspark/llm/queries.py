@@ -13,6 +13,7 @@ _MODULES = {
     "op10_bpe": "bpe",
     "op4_sharding": "sharding",
     "op7_pii": "pii",
+    "op8_embedding_dedup": "embedding_dedup",
     "op9_line_dedup": "line_dedup",
 }
 
