@@ -107,19 +107,25 @@ def native_matches(df: DataFrame, keywords: Iterable[str], key: str = "doc_id",
 def without_overlaps(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Of spans (key, start, end inclusive, ...) those that longest-first selection keeps."""
     own = [c for c in spans.columns if c != key]
-    rows = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("_size"), *own)))
-    clear = lambda kept, s: ~F.exists(kept, lambda k: (k["start"] <= s["end"]) & (k["end"] >= s["start"]))
+
+    @F.arrow_udf("array<int>")
+    def survivors(start: pa.Array, end: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(start.to_pylist(), end.to_pylist(), strict=True):
+            out.append([i for _, _, i in engine.longest_first([(x, y, i) for i, (x, y) in enumerate(zip(a, b, strict=True))])])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", *(c for c in own if c not in ("start", "end")))))
     grouped = spans.groupBy(key).agg(rows.alias("_all"))
-    empty = F.slice("_all", 1, 0)
-    kept = F.aggregate("_all", empty, lambda acc, s: F.when(clear(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return grouped.select(key, F.explode(kept).alias("_k")).select(key, *(F.col(f"_k.{c}").alias(c) for c in own))
+    kept = survivors(F.col("_all.start"), F.col("_all.end"))
+    return grouped.select(key, "_all", F.explode(kept).alias("_i")).select(key, F.get("_all", F.col("_i")).alias("_k")).select(key, *(F.col(f"_k.{c}").alias(c) for c in own))
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, key: str = "doc_id", width: int = 256) -> DataFrame:
     """Pairs of intervals (key, start, end inclusive) that overlap: an equi-join on the key and on blocks of `width`
     characters, so that a long text with many intervals does not meet all of its pairs."""
-    block = lambda df: df.withColumn("_b", F.explode(F.sequence((F.col("start") / width).cast("int"), (F.col("end") / width).cast("int"))))
-    x = block(a.select(key, "start", "end"))
-    y = block(b.select(key, F.col("start").alias("other_start"), F.col("end").alias("other_end"))).withColumn("_s", F.col("other_start"))
-    met = x.withColumnRenamed("_b", "_x").join(y.withColumnRenamed("_b", "_x"), [key, "_x"]).where((F.col("start") <= F.col("other_end")) & (F.col("end") >= F.col("other_start")))
+    block = lambda df, a, b: df.withColumn("_x", F.explode(F.sequence((F.col(a) / width).cast("int"), (F.col(b) / width).cast("int"))))
+    x = block(a.select(key, "start", "end"), "start", "end")
+    y = block(b.select(key, F.col("start").alias("other_start"), F.col("end").alias("other_end")), "other_start", "other_end")
+    met = x.join(y, [key, "_x"]).where((F.col("start") <= F.col("other_end")) & (F.col("end") >= F.col("other_start")))
     return met.where(F.col("_x") == (F.greatest("start", "other_start") / width).cast("int")).select(key, "start", "end", "other_start", "other_end")
