@@ -119,7 +119,7 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
         float(bool(digits) and luhn(digits)),
         float(len(groups) == 4 and all(map(_short_int, groups))),
         s.count("-"), s.count("."), s.count(" "), s.count("/"), s.count("("), s.count("_"),
-        float("[" in s or "{" in s), float("at" in re.findall("[a-z]+", s.lower())), float("dot" in s.lower()),
+        float("[" in s or "{" in s), float("at" in re.findall("[a-z]+", s.lower())), float(len(re.findall(r"\bdot\b", s.lower()))), float(len(re.findall(r"[\[({](?:at|dot)[\])}]", s.lower()))),
         float(len(re.split(r"[\W_]+", s)[-1]) <= 4), sum(c.isalpha() for c in s),
         float(any(w in _CUES[KINDS[kind]] for w in words)), float(any(w in _CONTRARY for w in words)),
         float(before[-1:].isalnum() or before[-1:] in "$€#@/="), float(after[:1].isalnum() or after[:1] in "%€$"),
@@ -149,7 +149,8 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def veiled() -> str:
         at = rng.choice([" at ", "(at)", "[at]", " [at] ", " (at) ", " AT "])
         dot = rng.choice([" dot ", "[dot]", "(dot)", " [dot] ", ".", " DOT "])
-        return word() + rng.choice(["", "." + word()]) + at + word() + dot + rng.choice(["com", "org", "net", "de", "fr", "es"])
+        host = dot.join(word() for _ in range(rng.choice([1, 1, 2])))
+        return word() + rng.choice(["", "." + word()]) + at + host + dot + rng.choice(["com", "org", "net", "de", "fr", "es"])
 
     octets = lambda: [str(rng.randrange(1, 256)) for _ in range(4)]
     rest = lambda: [
