@@ -136,6 +136,32 @@ def _cosine(x: list[float], y: list[float]) -> bool:
     return bool(u @ v >= COSINE * np.linalg.norm(u) * np.linalg.norm(v))
 
 
+def _rest(vectors: DataFrame):
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby(pdf["embedding"].map(len)):
+            x = np.array(own["embedding"].tolist(), dtype=np.float64)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            node = own["node"].to_numpy()
+            # a spanning forest of the linked ones is enough
+            left = np.arange(len(x))
+            while len(left):
+                edge = left[:1]
+                left = left[1:]
+                while len(edge) and len(left):
+                    close = x[edge] @ x[left].T >= COSINE
+                    hit = close.any(axis=0)
+                    by = edge[close.argmax(axis=0)]
+                    out += [(max(u, v), min(u, v)) for u, v in zip(node[by[hit]], node[left[hit]], strict=True)]
+                    edge, left = left[hit], left[~hit]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    def rest(blocks: DataFrame) -> DataFrame:
+        return blocks.join(vectors.select(F.col("uid").alias("node"), "embedding"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+    return rest
+
+
 def _count_links(members: DataFrame) -> DataFrame:
     """members (component, size, uid, embedding) -> uid, n: others of the component with the cosine or more.
 
@@ -169,7 +195,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     vec_id counts as the largest, and of repeated ids all rows with the component's id are kept. Other columns are ignored.
     """
     base = materialize(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).withColumn("uid", F.monotonically_increasing_id()))
-    found = link_buckets(_tables(base), _verifier(base), refine=2)
+    found = link_buckets(_tables(base), _verifier(base), _rest(base))
     parts = materialize(edges_to_components(found))
     sizes = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     members = parts.join(sizes, "component").join(base.select(F.col("uid").alias("node"), "embedding"), "node").select("component", "size", F.col("node").alias("uid"), "embedding")
