@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Rows that one block, the unit of the second permutation, holds about.
-BLOCK_ROWS = 1 << 20
+#: Rows that one block, the unit of the second permutation, holds about; sources, the units of the first, at most.
+BLOCK_ROWS = 1 << 22
+SOURCES = 4096
 #: Bytes of the matrix that are broadcast at most; a larger one is joined by a shuffle on the source.
 BROADCAST_MATRIX = 32 << 20
 
@@ -86,8 +87,8 @@ def shard(base: DataFrame, n_shards: int = 24, seed: int = 7, block_rows: int =
     shards some shards stay empty.
     """
     names = [c for c in base.columns if c not in ("shard", "slot")]
-    fixed = materialize(base.select(*(F.col(f"`{c}`") for c in names), F.spark_partition_id().alias("_src"), F.monotonically_increasing_id().alias("_uid")))
-    # one row per input split
+    fixed = materialize(base.select(*(F.col(f"`{c}`") for c in names), F.pmod(F.spark_partition_id(), F.lit(SOURCES)).cast("int").alias("_src"), F.monotonically_increasing_id().alias("_uid")))
+    # one row per source
     counts = sorted((r["_src"], r["count"]) for r in fixed.groupBy("_src").count().collect())
     total = sum(c for _, c in counts)
     shards = even(total, n_shards)
@@ -100,7 +101,7 @@ def shard(base: DataFrame, n_shards: int = 24, seed: int = 7, block_rows: int =
         lines.append((src, by_shard, [sums(x) for x in row]))
     size = sum(len(json.dumps(x)) for x in lines)
     plan = fixed.sparkSession.createDataFrame(lines, "_src int, _ends array<long>, _cuts array<array<long>>")
-    starts = F.array(*(F.array(*(F.lit(x).cast("long") for x in [0, *sums(b)[:-1]])) for b in blocks))
+    starts = F.from_json(F.lit(json.dumps([[0, *sums(b)[:-1]] for b in blocks])), "array<array<bigint>>")
     n = F.row_number().over(W.partitionBy("_src").orderBy(F.xxhash64("_uid", F.lit(seed)), "_uid")) - F.lit(1)
     placed = (
         fixed.withColumn("_n", n.cast("long"))
