@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import search
 from ..functions.requests import status
 from ..operators import language, redaction
+from ..operators.matching import balanced
 from ..options import MAX_TEXT_LENGTH, SearchOptions
 
 
@@ -17,13 +18,15 @@ def moderate(docs: DataFrame, keywords: Sequence[str], model: DataFrame | None =
     """doc_id, status, n_keywords, n_email, n_phone, masked_length, and with a model the detected language (422 where there
     is none). Counts of refused texts are null."""
     text, ok = F.col("text"), F.col("status") == 200
-    rows = docs.select("doc_id", "text", status(text, limit).alias("status"))
+    rows = balanced(docs.select("doc_id", "text", status(text, limit).alias("status")))
     if model is not None:
         rows = rows.join(language.detect(rows.where(ok), model), "doc_id", "left").withColumn("status", F.when(ok & (F.col("detected") == language.UNKNOWN), 422).otherwise(F.col("status")))
     only = lambda c: F.when(ok, c)
-    masked = redaction.native_mask(redaction.native_mask(text, redaction.EMAIL), redaction.PHONE)
+    # texts without the sign are spared the pattern
+    mailed = text.contains("@")
+    masked = redaction.native_mask(F.when(mailed, redaction.native_mask(text, redaction.EMAIL)).otherwise(text), redaction.PHONE)
     return rows.select(
-        "doc_id", "status", only(search.count_matches(text, keywords)).alias("n_keywords"), only(F.regexp_count(text, F.lit(redaction.EMAIL))).alias("n_email"),
+        "doc_id", "status", only(search.count_matches(text, keywords)).alias("n_keywords"), only(F.when(mailed, F.regexp_count(text, F.lit(redaction.EMAIL))).otherwise(0)).alias("n_email"),
         only(F.regexp_count(text, F.lit(redaction.PHONE))).alias("n_phone"), only(F.length(masked) - F.length(F.replace(masked, F.lit("*"), F.lit("")))).alias("n_masked"),
         *(["detected"] if model is not None else []),
     )
