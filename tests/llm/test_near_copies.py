@@ -28,3 +28,11 @@ def test_varied_copies_are_the_groups_of_all_pairs_in_buckets(spark):
     wanted = components(range(len(texts)), lambda a, b: (keys[a] == keys[b]).any() and near(texts[a], texts[b]))
     docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_groups(docs).collect()} == wanted
+
+
+def test_stage_keeps_what_brute_force_keeps(spark):
+    texts = copies()
+    groups = components(range(len(texts)), lambda a, b: near(texts[a], texts[b]))
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in stages.near_dedup(spark, docs, "").collect()}
+    assert kept == set(groups.values()) == {0}
