@@ -36,3 +36,15 @@ def test_stage_keeps_what_brute_force_keeps(spark):
     docs = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(texts)], "doc_id long, text string")
     kept = {r["doc_id"] for r in stages.near_dedup(spark, docs, "").collect()}
     assert kept == set(groups.values()) == {0}
+
+
+def test_recall_at_the_similarity():
+    rng = random.Random(1)
+    for length in (10, 40, 100, 300):
+        found = 0
+        for _ in range(100):
+            a = [f"w{rng.randrange(20000)}" for _ in range(length)]
+            b = changed(a, rng, length // 5)
+            assert near(a, b)
+            found += (sketch(a) == sketch(b)).any() if len(sketch(a)) == len(sketch(b)) else 0
+        assert found >= 90, length
