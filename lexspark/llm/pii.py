@@ -35,7 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 _VEILED = re.compile(r"([\w.+-]{1,64}) ?(?:\[at\]|\(at\)|\{at\}| at ) ?([\w-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[\w-]{1,63}){1,5})", re.IGNORECASE)
-_VEIL = re.compile(r"[\[({]at[\])}]|\bdot\b", re.IGNORECASE)
+#: Every match of _VEILED holds one.
+_VEIL = re.compile(r"[\[({ ]at[\])} ]", re.IGNORECASE)
 _DEFANGED = re.compile(r"(?<![\w.])\d{1,3}(?:\[\.\]|\(\.\)|\[dot\]| \. )\d{1,3}(?:\[?\(?\.\)?\]?|\[dot\]| \. )\d{1,3}(?:\[?\(?\.\)?\]?|\[dot\]| \. )\d{1,3}(?![\w.])")
 _LOOSE = re.compile(r"\(?\d[\d() ./_-]{6,40}\d")
 _CUES = {
