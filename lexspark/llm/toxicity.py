@@ -116,14 +116,21 @@ class Toxicity:
         shift = math.log(max(self.k * n, 1e-9)) if n else 0.0
         return n, sorted((self.scale * s - shift for _, _, s in self.passages(words)), reverse=True)
 
-    def features(self, text: str) -> tuple[float, float]:
+    def features(self, found: list[float]) -> tuple[float, float]:
         """The best segment, and the sum over the significant ones, on a logarithmic scale."""
-        _, found = self.evidence(text)
         best = max(found[0], 0.0) if found else 0.0
         return math.log1p(best), math.log1p(sum(x for x in found if x > 0))
 
     def probability(self, text: str) -> float:
-        x = self.features(text)
+        return self._probability(self.evidence(text)[1])
+
+    def judged(self, text: str) -> tuple[float, int]:
+        """The probability, and the number of significant segments."""
+        _, found = self.evidence(text)
+        return self._probability(found), sum(x > 0 for x in found)
+
+    def _probability(self, found: list[float]) -> float:
+        x = self.features(found)
         z = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], x, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -284,8 +291,9 @@ def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
             at = batch.schema.get_field_index("text")
             p, n = [], []
             for text in batch.column(at).to_pylist():
-                p.append(m.probability(text or ""))
-                n.append(sum(x > 0 for x in m.evidence(text or "")[1]) if p[-1] > 0.05 else 0)
+                one, several = m.judged(text or "")
+                p.append(one)
+                n.append(several)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, *out])
 
     return spread(docs).mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField(name, T.DoubleType()), T.StructField("n_passages", T.LongType())]))
