@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,25 @@ def materialize(df: DataFrame) -> DataFrame:
     re-read, and random or order-dependent columns keep their values."""
     path = f"{shared_dir(df.sparkSession)}/lexspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that its path names."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of materialized tables whose readers are done."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            remove(df.sparkSession, path)
+            df._scratch = None
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,33 +62,45 @@ def empty_if_null(column: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows evenly over the cores where the input has fewer splits: small files may hold many rows."""
+    """Deals the rows of a plain scan evenly over the cores where it has fewer splits: small files may hold many rows. A
+    plan with a shuffle or a join stays as it is, as counting its splits would run it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Join|Aggregate|Window|Exchange|Sort|Group|Limit|Cartesian|Arrow|Pandas|Python|Generate", plan):
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
-def edges_to_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def edges_to_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of edges (a long, b long): one row per node, (node, component), component = smallest node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which need a number of rounds logarithmic in the
     diameter. Each round writes its edges; the minimum per node is a partial aggregate, and it is written before it is
-    joined back, so that adaptive execution can split the partition of a node with very many neighbours.
+    joined back, so that adaptive execution can split the partition of a node with very many neighbours. Raises if the
+    edges have not settled after that many rounds. Null ends must not occur; loops and repeated edges do not matter.
     """
     spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if not mark["n"] or mark == before:
+        if not mark["n"]:
+            discard(now)
+            return spark.createDataFrame([], "node long, component long")
+        if mark == before:
             break
         before = mark
         both = now.union(now.select("v", "u"))
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct())
+        discard(low, now)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = materialize(small.where("u <> v").distinct())
+        discard(low, large)
+    else:
+        raise RuntimeError(f"the components have not settled after {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    ) if before else spark.createDataFrame([], "node long, component long")
+    )
