@@ -2,27 +2,30 @@
 
 Each table projects unit vectors at random to a few blocks of eight dimensions and decodes each block to the nearest point
 of the E8 lattice (Conway and Sloane 1982); the points together are the cell. A vector stands in its own cell and in the
-neighbouring cells that it is nearest to, in each of several tables. Within a cell every vector is compared with a leader;
-linked vectors form components, and within components links are counted exactly, by blocks.
+neighbouring cells that it is nearest to, in each of several tables. Vectors that share a cell are compared, in the first
+cell that they share, by matrix products that give counts and a spanning forest, not pairs. Copies of a vector are one
+class, and vectors within half the threshold's angle of a leader are a core: linked with each other without comparison.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import edges_to_components, materialize, spread, table
-from .linking import link_buckets
+from .common import discard, edges_to_components, materialize, spread, table
 
 COSINE, TABLES, BLOCKS, PROBES, SCALE = 0.95, 10, 2, 2, 1.6
-#: Vectors of a component that are compared at once.
-TILE = 512
+#: Vectors of a cell that are compared at once.
+TILE = 256
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -85,126 +88,189 @@ def cells(x: np.ndarray, t: int, scale: float = SCALE, seed: int = 23) -> np.nda
     return np.stack(keys, axis=1)
 
 
-def _valid(batch: pa.RecordBatch) -> tuple[list[int], list[np.ndarray]]:
-    ids, rows = [], []
-    for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        if v and None not in v:
-            x = np.array(v, dtype=np.float64)
-            if np.isfinite(x).all():
-                norm = float(np.linalg.norm(x / (m := np.abs(x).max() or 1.0)) * m)
-                if norm > 0 and np.isfinite(norm):
-                    ids.append(i)
-                    rows.append(x / norm)
-    return ids, rows
+def units(column: pa.Array) -> list[np.ndarray | None]:
+    """Vectors of length one in double precision; None for those that are null, empty, zero or hold null or non-finite
+    numbers. The largest component becomes one first, so that no square overflows or vanishes."""
+    out: list[np.ndarray | None] = []
+    for v in column.to_pylist():
+        x = np.array(v, dtype=np.float64) if v and None not in v else None
+        most = 0.0 if x is None else np.abs(x).max()
+        if x is None or not np.isfinite(x).all() or not most > 0:
+            out.append(None)
+            continue
+        x = x / most
+        out.append(x / np.sqrt((x * x).sum()))
+    return out
 
 
-def _tables(vectors: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                ids, rows = _valid(batch.slice(at, 1024))
-                for d in {len(r) for r in rows}:
-                    node = np.array([i for i, r in zip(ids, rows, strict=True) if len(r) == d], dtype=np.int64)
-                    x = np.array([r for r in rows if len(r) == d])
-                    for t in range(TABLES):
-                        k = cells(x, t)
-                        home = np.zeros(k.shape, dtype=bool)
-                        home[:, 0] = True
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(k.size, t), pa.int32()), pa.array(k.ravel()), pa.array(np.repeat(node, k.shape[1])), pa.array(home.ravel())], ["table", "key", "node", "home"]
-                        )
+def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which rows of x and of y (of length one) have the cosine or more. Products near the threshold are summed exactly,
+    so that the answer does not depend on the other rows."""
+    dot = x @ y.T
+    out = dot >= COSINE
+    for i, j in zip(*np.nonzero(np.abs(dot - COSINE) < 1e-9), strict=True):
+        out[i, j] = math.fsum(x[i] * y[j]) >= COSINE
+    return out
 
-    return spread(vectors.select("uid", "embedding")).mapInArrow(run, "table int, key long, node long, home boolean")
 
+def _rows(data: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1)
 
-def _verifier(vectors: DataFrame):
-    side = lambda node, name: vectors.select(F.col("uid").alias(node), F.col("embedding").alias(name))
+
+def _base(vectors: DataFrame) -> DataFrame:
+    """vec_id, unit (binary, null where invalid), kind (digest of the unit) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [len(x) == len(y) and _cosine(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
-
-    return verify
-
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                data = [None if x is None else (x + 0.0).tobytes() for x in units(part.column(1))]
+                kind = [None if x is None else hashlib.blake2b(x, digest_size=16).digest() for x in data]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array(kind, pa.binary())], ["vec_id", "unit", "kind"])
 
-def _cosine(x: list[float], y: list[float]) -> bool:
-    u, v = np.array(x, dtype=np.float64), np.array(y, dtype=np.float64)
-    return bool(u @ v >= COSINE * np.linalg.norm(u) * np.linalg.norm(v))
+    return spread(vectors).mapInArrow(run, "vec_id long, unit binary, kind binary")
 
 
-def _rest(vectors: DataFrame):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in pdf.groupby(pdf["embedding"].map(len)):
-            x = np.array(own["embedding"].tolist(), dtype=np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            node = own["node"].to_numpy()
-            # a spanning forest of the linked ones is enough
-            left = np.arange(len(x))
-            while len(left):
-                edge = left[:1]
-                left = left[1:]
-                while len(edge) and len(left):
-                    close = x[edge] @ x[left].T >= COSINE
-                    hit = close.any(axis=0)
-                    by = edge[close.argmax(axis=0)]
-                    out += [(max(u, v), min(u, v)) for u, v in zip(node[by[hit]], node[left[hit]], strict=True)]
-                    edge, left = left[hit], left[~hit]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _cells(classes: DataFrame) -> DataFrame:
+    """bucket, node: the cells of each class in all tables."""
 
-    def rest(blocks: DataFrame) -> DataFrame:
-        return blocks.join(vectors.select(F.col("uid").alias("node"), "embedding"), "node").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                ids, data = batch.column(0).slice(at, 1024).to_pylist(), batch.column(1).slice(at, 1024).to_pylist()
+                for d in {len(x) for x in data}:
+                    node = np.array([i for i, x in zip(ids, data, strict=True) if len(x) == d], dtype=np.int64)
+                    x = np.frombuffer(b"".join(x for x in data if len(x) == d), dtype=np.float64).reshape(len(node), -1)
+                    for t in range(TABLES):
+                        k = cells(x, t)
+                        yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(node, k.shape[1]))], ["bucket", "node"])
 
-    return rest
+    return classes.select("node", "unit").mapInArrow(run, "bucket long, node long")
 
 
-def _count_links(members: DataFrame) -> DataFrame:
-    """members (component, size, uid, embedding) -> uid, n: others of the component with the cosine or more.
+def _cores(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, core: the least leader of the node's large cells within half the threshold's angle. Nodes of one core are linked
+    with each other and need not be compared. members: bucket, node, n; the leader of a cell is its smallest node."""
+    large = members.where(F.col("n") > TILE)
+    leaders = materialize(large.groupBy("bucket").agg(F.min("node").alias("core")))
+    met = materialize(large.join(leaders, "bucket").select("node", "core").distinct())
 
-    A large component is cut into tiles, and each pair of tiles is one group, so that no task holds more than two tiles.
-    """
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int"))
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = each.select("component", F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "uid", "embedding")
-    right = each.select("component", F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(False).alias("left"), "uid", "embedding")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        is_left = pdf["left"].to_numpy()
-        a, b = x[is_left], x[~is_left]
-        ids, others = pdf["uid"].to_numpy()[is_left], pdf["uid"].to_numpy()[~is_left]
-        n = np.zeros(len(a), dtype=np.int64)
-        for at in range(0, len(a), 512):
-            n[at : at + 512] = ((a[at : at + 512] @ b.T >= COSINE) & (ids[at : at + 512, None] != others[None, :])).sum(axis=1)
-        return pd.DataFrame({"uid": ids, "n": n})
-
-    return left.unionByName(right).groupBy("component", "i", "j").applyInPandas(count, "uid long, n long").groupBy("uid").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = math.cos(math.acos(COSINE) / 2) + 1e-9
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = [len(u) == len(v) and float(np.frombuffer(u) @ np.frombuffer(v)) >= half for u, v in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node", "core"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda node, name: classes.select(F.col("node").alias(node), F.col("unit").alias(name))
+    near = met.join(side("node", "x"), "node").join(side("core", "y"), "core").select("node", "core", "x", "y").mapInArrow(run, "node long, core long")
+    out = materialize(near.groupBy("node").agg(F.min("core").alias("core")))
+    discard(leaders, met)
+    return out
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """members (bucket, node, n, core) plus i, j, t: a cell of up to TILE members is one group; a larger one has tiles t, and
+    each pair i, j of its tiles is a group. A core with half a tile or more has tiles of its own, and pairs of these are
+    left out."""
+    few = members.where(F.col("n") <= TILE).select("bucket", "node", "core", *(F.lit(0).alias(c) for c in "ijt"))
+    large = members.where(F.col("n") > TILE).select("bucket", "node", "core")
+    sizes = large.groupBy("bucket", "core").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") * 2 >= TILE, F.col("core")))
+    sizes = materialize(sizes)
+    tiles = sizes.groupBy("bucket", "own").agg(F.ceil(F.sum("m") / TILE).cast("int").alias("tiles"))
+    each = W.partitionBy("bucket")
+    tiles = tiles.withColumn("first", (F.sum("tiles").over(each.orderBy("own")) - F.col("tiles")).cast("int")).withColumn("total", F.sum("tiles").over(each).cast("int"))
+    tiles = materialize(tiles)
+    other = tiles.select(F.col("bucket").alias("b2"), F.col("own").alias("o2"), "tiles", "first", "total")
+    known = materialize(sizes.join(other, (F.col("bucket") == F.col("b2")) & F.col("own").eqNullSafe(F.col("o2"))).select(F.col("bucket").alias("b2"), F.col("core").alias("c2"), "own", "tiles", "first", "total"))
+    placed = large.join(known, (F.col("bucket") == F.col("b2")) & F.col("core").eqNullSafe(F.col("c2")))
+    placed = placed.withColumn("t", F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
+    placed = placed.where(F.col("own").isNull() | (F.col("u") < F.col("first")) | (F.col("u") >= F.col("first") + F.col("tiles")))
+    return few.unionByName(placed.select("bucket", "node", "core", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t"))
+
+
+def _earlier(buckets: list[np.ndarray], here: int) -> np.ndarray:
+    """Which pairs of members share a cell before this one, where they are compared."""
+    own = [b[b < here] for b in buckets]
+    at = np.repeat(np.arange(len(own)), [len(b) for b in own])
+    kinds, column, count = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    if not shared.any():
+        return np.zeros((len(own), len(own)), dtype=bool)
+    _, column = np.unique(column[shared], return_inverse=True)
+    has = np.zeros((len(own), int(column.max()) + 1), dtype=np.float32)
+    has[at[shared], column] = 1
+    return has @ has.T > 0
+
+
+def _forest(close: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges that connect what close connects."""
+    left = np.arange(len(close))
+    while len(left):
+        edge, left = left[:1], left[1:]
+        while len(edge) and len(left):
+            some = close[np.ix_(edge, left)]
+            hit = some.any(axis=0)
+            yield from zip(left[hit].tolist(), edge[some.argmax(axis=0)[hit]].tolist(), strict=True)
+            edge, left = left[hit], left[~hit]
+
+
+def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one group: (node, n, null) with the rows that link with the node here, and edges (node, null, other)."""
+    counts, edges = [], []
+    for _, own in pdf.groupby(pdf["unit"].map(len)):
+        node, rows, core, t = (own[c].to_numpy() for c in ("node", "rows", "core", "t"))
+        x = _rows(own["unit"])
+        close = linked(x, x)
+        if own["i"].iloc[0] != own["j"].iloc[0]:  # pairs of one tile belong to that tile's own group
+            close &= t[:, None] != t[None, :]
+        np.fill_diagonal(close, False)
+        edges += [(node[a], None, node[b]) for a, b in _forest(close)]
+        cored = core >= 0
+        new = close & ~((core[:, None] == core[None, :]) & cored[:, None])
+        if new.any():
+            new &= ~_earlier([np.asarray(b, dtype=np.int64) for b in own["buckets"]], int(own["bucket"].iloc[0]))
+            n = new @ rows
+            counts += [(a, int(k), None) for a, k in zip(node, n, strict=True) if k]
+    return pd.DataFrame(counts + edges, columns=["node", "n", "other"]).astype({"node": "int64", "n": "Int64", "other": "Int64"})
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id (smallest vec_id of its component), kept.
 
-    Rows are linked when their cosine in double precision is COSINE or more and their dimensions agree; vectors that are
-    null, empty, zero or hold null or non-finite numbers link with nothing. Equal vectors link like any others. A null
-    vec_id counts as the largest, and of repeated ids all rows with the component's id are kept. Other columns are ignored.
+    Rows are linked when their cosine in double precision is COSINE or more, their dimensions agree and they share a cell or
+    a core; vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors of one direction
+    are one class, compared once and counted as often as they stand. A null vec_id counts as the largest, and of repeated
+    ids all rows with the component's id are kept. Other columns are ignored; an empty table gives an empty result.
     """
-    base = materialize(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding")).withColumn("uid", F.monotonically_increasing_id()))
-    found = link_buckets(_tables(base), _verifier(base), _rest(base))
-    parts = materialize(edges_to_components(found))
-    sizes = materialize(parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
-    members = parts.join(sizes, "component").join(base.select(F.col("uid").alias("node"), "embedding"), "node").select("component", "size", F.col("node").alias("uid"), "embedding")
-    links = materialize(_count_links(members))
-    first = parts.join(base.select(F.col("uid").alias("node"), "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    placed = materialize(parts.join(first, "component").join(links, F.col("node") == F.col("uid")).select("uid", "n", "component_id"))
-    out = base.select("vec_id", "uid").join(placed, "uid", "left")
+    base = materialize(_base(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))).withColumn("uid", F.monotonically_increasing_id()))
+    named = materialize(base.where("kind is not null").groupBy("kind").agg(F.min("uid").alias("node"), F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("least")))
+    classes = materialize(base.select(F.col("uid").alias("node"), "unit").join(named.select("node", "rows"), "node"))
+    own = _cells(classes).distinct()
+    own = materialize(own)
+    sizes = materialize(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = materialize(own.join(sizes, "bucket"))
+    discard(own, sizes)
+    cores = _cores(members, classes)
+    lists = materialize(members.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")))  # TABLES x cells at most
+    full = materialize(lists.join(classes, "node").join(cores, "node", "left").select("node", "buckets", "unit", "rows", "core"))
+    dealt = materialize(_tiles(members.join(cores, "node", "left").select("bucket", "node", "n", "core")))
+    groups = dealt.drop("core").join(full, "node").withColumn("core", F.coalesce("core", F.lit(-1)))
+    found = materialize(groups.groupBy("bucket", "i", "j").applyInPandas(compare, "node long, n long, other long"))
+    edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(cores.select(F.col("node").alias("a"), F.col("core").alias("b")))
+    parts = materialize(edges_to_components(edges))
+    cored = cores.join(named.select("node", "rows"), "node")
+    whole = materialize(cored.groupBy("core").agg(F.sum("rows").alias("n")))
+    inside = cored.join(whole, "core").select("node", (F.col("n") - F.col("rows")).alias("n"))
+    n = materialize(found.where("n is not null").select("node", "n").unionByName(inside).groupBy("node").agg(F.sum("n").alias("n")))
+    placed = named.join(parts, "node", "left").join(n, "node", "left").select("kind", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    placed = materialize(placed)
+    first = materialize(placed.groupBy("component").agg(F.min("least").alias("component_id")))
+    placed = materialize(placed.join(first, "component").select("kind", "n_links", "component_id"))
+    ids = materialize(base.select("vec_id", "kind"))
+    discard(base, named, classes, members, cores, lists, full, dealt, found, parts, whole, n, first)
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return ids.join(placed, "kind", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def op8_embedding_dedup(spark, sf_dir):
