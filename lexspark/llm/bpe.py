@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from .common import spread, table
 from .pretokens import PieceCache
 
-LEAF = 32
+#: Inner nodes of up to so many bytes are kept.
+KEPT = 16
+#: Windows of more bytes are merged with a heap.
+LONG = 128
 _NONE = 1 << 60
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -37,6 +40,8 @@ class TreeBpe:
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.nodes: dict[bytes, list[int]] = {}
+        self.joins = 0
         self.single = [ranks[bytes([x])] for x in range(256)]
         #: Two tokens -> the token, and so the rank, of their bytes together.
         self.merged = {(ranks[k[:i]], ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
@@ -46,7 +51,7 @@ class TreeBpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(data) > 4 * LEAF:
+        if len(data) > LONG:
             return self._merge_long(data)
         get = self.merged.get
         ids = [self.single[x] for x in data]
@@ -105,6 +110,9 @@ class TreeBpe:
     def join(self, a: list[int], b: list[int]) -> list[int]:
         if not a or not b:
             return a or b
+        self.joins += 1
+        if self.holds(a[-1], b[0]):
+            return a + b
         i = j = 1
         while True:
             i, j = min(i, len(a)), min(j, len(b))
@@ -116,14 +124,23 @@ class TreeBpe:
             i, j = i if left else 2 * i, j if right else 2 * j
 
     def encode(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.merge(data) if data else []
-        half = len(data) // 2
-        return self.join(self.encode(data[:half]), self.encode(data[half:]))
+        """Leaves are single bytes; results of short inner nodes are kept, as many pieces share them."""
+        if len(data) <= 1:
+            return [self.single[data[0]]] if data else []
+        found = self.nodes.get(data)
+        if found is None:
+            half = len(data) // 2
+            found = self.join(self.encode(data[:half]), self.encode(data[half:]))
+            if len(data) <= KEPT:
+                if len(self.nodes) > 500_000:
+                    self.nodes.clear()
+                self.nodes[data] = found
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= LEAF:
-            return b"".join(map(self.bytes.__getitem__, ids))
+        """Bytes concatenated up the tree of the ids."""
+        if len(ids) <= 1:
+            return self.bytes[ids[0]] if ids else b""
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 

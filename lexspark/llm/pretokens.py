@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterable
 from typing import Any
@@ -9,13 +10,38 @@ from typing import Any
 import regex
 
 #: Characters for which the classes of `re` and of the tokenizers' engines agree; other texts take the slower engine.
-_UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
+UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: A lone space between two other characters: a piece always ends before it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_CONTROL = re.compile("[\x1c-\x1f]")
 _GAP = re.compile(r"\s\s|^\s|\s$")
 
 
+@functools.lru_cache(maxsize=1)
+def _stand_ins() -> dict[int, str]:
+    """Code points whose class (letter, number, blank, other) is another in the library's engine than in `regex`, with a
+    character that has that class in both. The library skips what a pattern does not match, which shows its classes."""
+    import tiktoken
+
+    everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    classes = {r"\p{L}": "a", r"\p{N}": "1", r"\s": "\u3000"}
+    theirs: dict[str, str] = {}
+    ours: dict[str, str] = {}
+    for pattern, stand_in in classes.items():
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs |= dict.fromkeys(probe.decode(probe.encode_ordinary(everything)), stand_in)
+        ours |= dict.fromkeys(regex.findall(pattern, everything), stand_in)
+    return {ord(c): theirs.get(c, "\u2020") for c in theirs.keys() | ours.keys() if theirs.get(c) != ours.get(c)}
+
+
+def find_pieces(pattern: regex.Pattern, text: str) -> list[str]:
+    """The pattern's matches in text by the library's classes of characters."""
+    if text.isascii() and not _CONTROL.search(text):
+        return pattern.findall(text)
+    return [text[m.start() : m.end()] for m in pattern.finditer(text.translate(_stand_ins()))]
+
+
 class Cache(dict):
     """A dictionary of bounded size in two generations: entries met again while in the older one move to the newer."""
 
@@ -46,9 +72,6 @@ class PieceCache:
         self.pattern, self.encode, self.join = regex.compile(pattern), encode, join
         self.chunks, self.pieces = Cache(limit), Cache(2 * limit)
 
-    def split(self, chunk: str) -> list[str]:
-        return self.pattern.findall(chunk) if _UNUSUAL.search(chunk) else _QUICK.findall(chunk)
-
     def texts(self, texts: list[str]) -> list[list[Any]]:
         cut: list[list[str]] = []
         out: list[list[Any]] = []
@@ -58,8 +81,8 @@ class PieceCache:
         for text in texts:
             if not text:
                 own, values = [], []
-            elif _UNUSUAL.search(text):
-                own, values = [], self._values([self.pattern.findall(text)])
+            elif UNUSUAL.search(text):
+                own, values = [], self._values([find_pieces(self.pattern, text)])
             else:
                 own = _CUT.split(text) if _GAP.search(text) else text.split(" ")
                 values = list(map(get, own))
