@@ -21,8 +21,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import materialize, spread, table
+from .pretokens import UNUSUAL
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -147,14 +149,25 @@ def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, int]:
 
 @functools.lru_cache(maxsize=2)  # for the life of a Python worker, not of a task
 def encoder(tokenizer_path: str) -> Callable[[str], list[int]]:
-    """text -> ids of a byte-level BPE given as JSON. Its ids stand in the order of its merges, so they serve as ranks."""
+    """text -> ids as `tokenizers` gives them for the file, without added special tokens; the strings of special tokens
+    within a text are read as those. Plain texts take a quicker engine: the file's ids stand in the order of its merges, so
+    they serve as ranks. Texts with special strings or unusual characters are left to the library."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        content = json.load(f)
+    model, special = content["model"], [x["content"] for x in content.get("added_tokens", [])]
     # byte-level files write bytes as printable characters: those of Latin-1 as themselves, the rest from 256 on, in order
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if all(c in letters for c in word)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {bytes(letters[c] for c in word): i for word, i in model["vocab"].items() if word not in special and all(c in letters for c in word)}
+    quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    library = Tokenizer.from_file(tokenizer_path)
+
+    def encode(text: str) -> list[int]:
+        if UNUSUAL.search(text) or any(s in text for s in special):
+            return library.encode(text, add_special_tokens=False).ids
+        return quick(text)
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -184,23 +197,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
 
 
 def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
-    """pieces (with a column length, 1 to size) plus sequence_id and offset: no sequence is longer than size.
+    """pieces (with a column length, 1 to size) plus sequence_id and offset, which replace columns of these names: no
+    sequence is longer than size.
 
-    Rows of equal length are interchangeable, repeated rows are separate items, and other columns pass through. An empty
-    table stays empty. Only the histogram of lengths, at most `size` numbers, comes to the driver.
+    Rows of equal length are interchangeable, repeated rows are separate items, nulls in other columns do not matter, and
+    other columns pass through, whatever their names. An empty table stays empty. Only the histogram of lengths, at most
+    `size` numbers, comes to the driver.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    fixed = materialize(pieces.select(*names).withColumn("_src", F.spark_partition_id()).withColumn("_uid", F.monotonically_increasing_id()))
+    own = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    fixed = materialize(pieces.select(own, F.col("length").cast("long").alias("length"), F.spark_partition_id().alias("src"), F.monotonically_increasing_id().alias("uid")))
     whole, rest = fixed.where(F.col("length") == size), fixed.where(F.col("length") < size)
-    by_src = materialize(rest.groupBy("length", "_src").agg(F.count(F.lit(1)).alias("n")))
+    by_src = materialize(rest.groupBy("length", "src").agg(F.count(F.lit(1)).alias("n")))
     counts = {int(r["length"]): int(r["n"]) for r in by_src.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows, sequences = plan(counts, size)
-    before = by_src.select("length", "_src", (F.sum("n").over(W.partitionBy("length").orderBy("_src")) - F.col("n")).alias("_before"))
-    ranked = (
-        rest.withColumn("_n", F.row_number().over(W.partitionBy("length", "_src").orderBy("_uid")) - 1)
-        .join(before, ["length", "_src"])
-        .withColumn("_rank", (F.col("_n") + F.col("_before")).cast("long"))
-    )
+    before = by_src.select("length", "src", (F.sum("n").over(W.partitionBy("length").orderBy("src")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(W.partitionBy("length", "src").orderBy("uid")) - 1
+    ranked = rest.withColumn("nth", nth).join(before, ["length", "src"]).select("row", "length", (F.col("nth") + F.col("before")).cast("long").alias("rank"))
     # bounded by the square of size, whatever the input
     shared = pieces.sparkSession.sparkContext.broadcast(rows)
 
@@ -212,9 +225,9 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
         at = np.searchsorted(table[:, 0] * reach + table[:, 1], length.to_numpy() * reach + rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": table[at, 2] + rank.to_numpy() - table[at, 1], "offset": table[at, 3]})
 
-    placed = ranked.withColumn("_p", place("length", "_rank")).select(*names, "_p.sequence_id", "_p.offset")
-    alone = whole.select(*names, (F.lit(sequences) + F.col("_uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(alone)
+    placed = ranked.withColumn("at", place("length", "rank")).select("row", "at.sequence_id", "at.offset")
+    alone = whole.select("row", (F.lit(sequences) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone).select(*(F.col(f"row.`{c}`").alias(c) for c in names), "sequence_id", "offset")
 
 
 def op5_packing(spark, sf_dir):
