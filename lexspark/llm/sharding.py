@@ -1,15 +1,16 @@
 """A uniform shuffle into shards of exact size, by DataFrame operations alone.
 
-The counts of the communication matrix (rows that each source sends to each block of each shard) are drawn from the
-multivariate hypergeometric distribution that a uniform permutation of all rows would give. Each source then permutes
-its own rows and deals them out by those counts, and each block permutes what it has received.
+The counts of the communication matrix (rows that each source sends to each shard) are drawn from the multivariate
+hypergeometric distribution that a uniform permutation of all rows would give. Each source then permutes its own rows and
+deals them out by those counts, and each shard permutes what it has received, in blocks of random places.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Rows that one block, the unit of the second permutation, holds about; sources, the units of the first, at most.
+#: Rows that one block, the unit of the second permutation, holds about; sources, the units of the first, at most. The
+#: driver draws one number for each source and shard.
 BLOCK_ROWS = 1 << 22
 SOURCES = 4096
 #: Bytes of the matrix that are broadcast at most; a larger one is joined by a shuffle on the source.
@@ -62,17 +64,13 @@ def deal(total: int, capacities: list[int], rng: random.Random) -> list[int]:
     return out
 
 
-def communication_matrix(counts: list[int], sizes: list[list[int]], seed: int) -> list[list[list[int]]]:
-    """For each source the rows that it sends to each block of each shard; sums meet counts and sizes exactly."""
-    rng = random.Random(seed)
-    left = [list(s) for s in sizes]
-    out = []
+def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> Iterator[list[int]]:
+    """For each source in turn the rows that it sends to each shard; sums meet counts and sizes exactly."""
+    rng, left = random.Random(seed), list(sizes)
     for n in counts:
-        by_shard = deal(n, [sum(s) for s in left], rng)
-        row = [deal(x, s, rng) for x, s in zip(by_shard, left, strict=True)]
-        left = [[c - x for c, x in zip(s, r, strict=True)] for s, r in zip(left, row, strict=True)]
-        out.append(row)
-    return out
+        row = deal(n, left, rng)
+        left = [c - x for c, x in zip(left, row, strict=True)]
+        yield row
 
 
 def even(total: int, parts: int) -> list[int]:
@@ -80,38 +78,40 @@ def even(total: int, parts: int) -> list[int]:
 
 
 def shard(base: DataFrame, n_shards: int = 24, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """base with shard (0 to n_shards - 1, sizes at most one apart) and slot (gapless from 0 within the shard).
+    """base with shard (0 to n_shards - 1, sizes at most one apart) and slot (gapless from 0 within the shard), which replace
+    columns of these names.
 
-    Any columns may be present but shard and slot, which are replaced. Rows are told apart by their place in the input,
-    so nulls, equal rows and repeated keys are rows like any other. An empty table stays empty; with fewer rows than
+    Other columns pass through, whatever their names. Rows are told apart by their place in the input, so nulls, equal
+    rows, very long texts and repeated keys are rows like any other. An empty table stays empty; with fewer rows than
     shards some shards stay empty.
     """
     names = [c for c in base.columns if c not in ("shard", "slot")]
-    fixed = materialize(base.select(*(F.col(f"`{c}`") for c in names), F.pmod(F.spark_partition_id(), F.lit(SOURCES)).cast("int").alias("_src"), F.monotonically_increasing_id().alias("_uid")))
-    # one row per source
-    counts = sorted((r["_src"], r["count"]) for r in fixed.groupBy("_src").count().collect())
+    own = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    fixed = materialize(base.select(own, F.pmod(F.spark_partition_id(), F.lit(SOURCES)).cast("int").alias("src"), F.monotonically_increasing_id().alias("uid")))
+    counts = sorted((r["src"], r["count"]) for r in fixed.groupBy("src").count().collect())  # SOURCES rows at most
     total = sum(c for _, c in counts)
-    shards = even(total, n_shards)
-    blocks = [even(s, max(1, -(-s // block_rows))) for s in shards]
-    matrix = communication_matrix([c for _, c in counts], blocks, seed)
-    sums = lambda xs: [sum(xs[: i + 1]) for i in range(len(xs))]
-    lines = []
-    for (src, _), row in zip(counts, matrix, strict=True):
-        by_shard = sums([sum(x) for x in row])
-        lines.append((src, by_shard, [sums(x) for x in row]))
-    size = sum(len(json.dumps(x)) for x in lines)
-    plan = fixed.sparkSession.createDataFrame(lines, "_src int, _ends array<long>, _cuts array<array<long>>")
-    starts = F.from_json(F.lit(json.dumps([[0, *sums(b)[:-1]] for b in blocks])), "array<array<bigint>>")
-    n = F.row_number().over(W.partitionBy("_src").orderBy(F.xxhash64("_uid", F.lit(seed)), "_uid")) - F.lit(1)
-    placed = (
-        fixed.withColumn("_n", n.cast("long"))
-        .join(F.broadcast(plan) if size <= BROADCAST_MATRIX else plan, "_src")
-        .withColumn("shard", F.expr("size(filter(_ends, e -> e <= _n))"))
-        .withColumn("_m", F.expr("_n - if(shard = 0, 0, _ends[shard - 1])"))
-        .withColumn("_block", F.expr("size(filter(_cuts[shard], e -> e <= _m))"))
+    sizes = even(total, n_shards)
+    ends = [(src, list(accumulate(row))) for (src, _), row in zip(counts, communication_matrix([c for _, c in counts], sizes, seed), strict=True)]
+    plan = base.sparkSession.createDataFrame(ends, "src int, ends array<long>")
+    nth = F.row_number().over(W.partitionBy("src").orderBy(F.xxhash64("uid", F.lit(seed)), "uid")) - F.lit(1)
+    blocks = max(1, -(-total // (n_shards * block_rows)))
+    sent = (
+        fixed.withColumn("nth", nth.cast("long"))
+        .join(F.broadcast(plan) if 8 * n_shards * len(ends) <= BROADCAST_MATRIX else plan, "src")
+        .select("row", "uid", F.expr("size(filter(ends, e -> e <= nth))").alias("shard"), F.xxhash64("uid", F.lit(seed + 1)).alias("place"))
+        # a block is a range of places, so that the blocks of a shard one after the other are in order of place
+        .withColumn("block", F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * F.lit(blocks)).cast("int"))
     )
-    again = F.row_number().over(W.partitionBy("shard", "_block").orderBy(F.xxhash64("_uid", F.lit(seed + 1)), "_uid")) - F.lit(1)
-    return placed.select(*(F.col(f"`{c}`") for c in names), "shard", "_block", "_uid").withColumn("slot", again + starts[F.col("shard")][F.col("_block")]).drop("_block", "_uid")
+    if blocks > 1:
+        sent = materialize(sent)
+        # n_shards x blocks rows
+        first = sent.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+        first = first.select("shard", "block", (F.sum("n").over(W.partitionBy("shard").orderBy("block")) - F.col("n")).alias("first"))
+        sent = sent.join(first, ["shard", "block"])
+    else:
+        sent = sent.withColumn("first", F.lit(0).cast("long"))
+    again = F.row_number().over(W.partitionBy("shard", "block").orderBy("place", "uid")) - F.lit(1)
+    return sent.select(*(F.col(f"row.`{c}`").alias(c) for c in names), "shard", (again + F.col("first")).cast("long").alias("slot"))
 
 
 def op4_sharding(spark, sf_dir):
