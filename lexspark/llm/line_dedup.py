@@ -16,8 +16,8 @@ from .common import materialize, table
 MIN_SITES = 8
 #: log2 of the sketch's buckets, and the relative error (over four standard errors) within which a line counts as near.
 LG_K, NEAR = 12, 0.07
-#: Line hashes broadcast at most; more are joined by a shuffle.
-BROADCAST_LINES = 1 << 20
+#: Line hashes, and documents with dropped lines, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_LINES = 1 << 19
 
 
 def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -49,29 +49,28 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source"
     Lines end at newlines and are compared by the 64-bit hash of their trimmed text; blank lines never count. A null
     site counts as none, a null text stays null (0 lines), an empty one has one blank line. Of a boilerplate line the
     first occurrence stays, a null doc_id counting as the largest; all rows equal in doc_id and text keep the same
-    lines. No row is dropped: a text may become empty.
+    lines. No row is dropped: a text may become empty. Other columns pass through, whatever their names; an empty table
+    stays empty.
     """
-    docs = docs.select(*(c for c in docs.columns if c not in ("n_lines", "n_dropped")))
-    key = F.col("doc_id").cast("long")
-    split = F.split("text", "\n")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    key, text, split = F.col("row.doc_id").cast("long"), F.col("row.text"), F.split("row.text", "\n")
+    hashes = F.transform(split, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
     lines = (
-        docs.select(key.alias("doc_id"), F.xxhash64("text").alias("_h"), F.col(site).cast("string").alias("site"), F.posexplode(F.transform(split, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))).alias("pos", "line"))
+        docs.select(key.alias("doc_id"), F.xxhash64(text).alias("digest"), F.col(f"row.`{site}`").cast("string").alias("site"), F.posexplode(hashes).alias("pos", "line"))
         .where("line is not null")
-        .withColumn("at", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h", "pos"))
+        .withColumn("at", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "digest", "pos"))
     )
     bad = boilerplate(lines, min_sites)
-    drop = (
-        lines.join(_sized(bad), "line").where(~F.col("at").eqNullSafe(F.col("first")))
-        .groupBy(F.col("doc_id").alias("_d"), F.col("_h").alias("_k")).agg(F.collect_set("pos").alias("_drop"))
-    )
+    drop = lines.join(_sized(bad), "line").where(~F.col("at").eqNullSafe(F.col("first"))).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("gone"))
     drop = materialize(drop)
-    joined = docs.join(drop, key.eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
-    kept = F.filter(split, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    cleaned = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
-        *(cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+    # without a shuffle of the texts where the places of the lines are few
+    met = docs.join(_sized(drop), key.eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("digest")), "left")
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
+    return met.select(
+        *((cleaned if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names),
+        F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 
 
