@@ -248,7 +248,8 @@ def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with its personal data replaced in text; null texts stay null, all columns and rows stay."""
+    """docs with its personal data replaced in text. Null and empty texts stay as they are, very long ones are searched whole;
+    all rows (repeated ones too) and all columns, whatever their names, stay; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

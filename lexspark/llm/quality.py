@@ -170,7 +170,11 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> tuple[np.ndarray, Network | None]:
-    """Word vectors from all documents, the network from labelled ones that are not held out (None without both labels)."""
+    """Word vectors from all documents, the network from labelled ones that are not held out (None without both labels).
+
+    Null texts count as empty, null ids and labels as unlabelled; of repeated labels the largest holds, and each row with a
+    labelled id counts. Very long texts are read whole, other columns are ignored, an empty table gives zero vectors.
+    """
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labelled(labels, "quality", mod, rest, MAX_LABELLED)
@@ -180,8 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0) -> tu
             xs = [pooled(t or "", shared.value).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(known), "_id").select("text", "y")
-    got = spread(some).mapInArrow(pool, "x array<double>, y int").orderBy(F.xxhash64("x")).collect()
+    some = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text")).join(F.broadcast(known), "_id").select("text", "y")
+    got = some.mapInArrow(pool, "x array<double>, y int").orderBy(F.xxhash64("x")).collect()
     y = np.array([r["y"] for r in got], dtype=float)
     if not len(y) or y.min() == y.max():
         return vectors, None
@@ -192,7 +196,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None], name: str =
     """docs plus the probability that label 1 holds, from the whole text of each row alone.
 
     Null and empty texts are the zero vector; without both labels every score is 0.5. Repeated rows, null ids and other
-    columns do not matter.
+    columns do not matter; a column of that name is replaced. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select(*(c for c in docs.columns if c != name))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup as lines
@@ -16,26 +18,48 @@ TOXIC = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that are toxic with a probability of TOXIC or more, learnt from the table labels.
+
+    Null and empty texts have no toxic token and stay, long ones are judged whole. Equal texts meet one fate, whatever their
+    ids; rows with null or repeated ids are rows like any other. Columns keep their names, any of them. No rows give none.
+    """
     model = tox.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return tox.score(docs, model, "_p").where(F.col("_p") < TOXIC).select(docs.columns)
+    name = f"p_{uuid.uuid4().hex}"
+    return tox.score(docs.select(_others(docs), "text"), model, name).where(F.col(name) < TOXIC).select(*(F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(lines.line_dedup(docs).select(docs.columns))
+    """docs with boilerplate lines cut from the texts, as line_dedup.line_dedup says; n_chars follows the text.
+
+    Every row stays, null texts as null; columns n_lines and n_dropped of docs keep their values.
+    """
+    whole = docs.select(_others(docs), "doc_id", "text", "source")
+    return _with_text(lines.line_dedup(whole), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group of docs, as minhash_dedup.near_dedup says."""
     return minhash_dedup.near_dedup(docs)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _counted(pii.redact(docs))
+    """docs with personal data replaced by its kind, as pii.redact says; n_chars follows the text."""
+    return _with_text(pii.redact(docs.select(_others(docs), "text")), docs.columns)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs in sequences, as packing.token_pieces and packing.pack say: null texts are one end id each, repeated
+    rows are separate items, long texts are cut into whole sequences, no rows give none."""
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars follows the text where there is such a column."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+def _others(docs: DataFrame) -> Column:
+    """The columns but text as one struct, so that no name of theirs can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+
+
+def _with_text(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns `names` of the struct row, but text as it stands beside it, and n_chars, if any, as its length."""
+    kinds = {f.name: f.dataType for f in docs.schema["row"].dataType.fields}
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(kinds.get("n_chars", "long"))}
+    return docs.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))

@@ -171,9 +171,13 @@ def labelled(labels: DataFrame, column: str, mod: int, rest: int, bound: int) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1) -> Toxicity:
-    """The model from labelled documents (bounded by MAX_LABELLED) and the token counts of all documents."""
+    """The model from labelled documents (bounded by MAX_LABELLED) and the token counts of all documents.
+
+    Null texts count as empty, null ids and labels as unlabelled; of repeated labels the largest holds, and each row with a
+    labelled id counts. Other columns are ignored. Without documents of both labels no token scores.
+    """
     known = labelled(labels, "toxic", mod, rest, MAX_LABELLED)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("_id"), "text"))
     # at most about MAX_LABELLED rows of 12 bytes
     joined = rows.join(F.broadcast(known), "_id", "left").select("text", F.when(F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_MOD)) > 0, F.col("y")).alias("y"))
 
@@ -198,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1) -> To
                     yield flush()
         yield flush()
 
-    by_word = spread(joined).mapInArrow(count, "word string, n long, clean long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "clean", "toxic")))
+    by_word = joined.mapInArrow(count, "word string, n long, clean long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "clean", "toxic")))
     by_word = materialize(by_word)
     total = by_word.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "clean", "toxic"))).first()
     if not total["toxic"] or not total["clean"]:
@@ -244,7 +248,7 @@ def _contexts(rows: DataFrame, known: DataFrame, keys: dict[str, int]) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array([keys[k] for k in columns[0]], pa.int64())], ["key", "at", "y", "n"])
 
     some = rows.join(F.broadcast(known), "_id").where(F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_MOD)) > 0).select("text", "y")
-    pairs = spread(some).mapInArrow(run, "key string, at long, y int, n long").groupBy("key", "at").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.max("n").alias("n"))
+    pairs = some.mapInArrow(run, "key string, at long, y int, n long").groupBy("key", "at").agg(F.max("y").alias("toxic"), F.max(1 - F.col("y")).alias("clean"), F.max("n").alias("n"))
     return pairs.groupBy("key").agg(F.max("n").alias("n"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -261,7 +265,7 @@ def _calibrate(model: Toxicity, rows: DataFrame, known: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(both, pa.list_(pa.float64()))], ["y", "n", "best", "all"])
 
     some = rows.join(F.broadcast(known), "_id").where(F.pmod(F.xxhash64("_id"), F.lit(CALIBRATE_MOD)) == 0).select("text", "y")
-    got = spread(some).mapInArrow(measure, "y int, n long, best double, all array<double>").collect()
+    got = some.mapInArrow(measure, "y int, n long, best double, all array<double>").collect()
     clean = [(r["n"], r["best"]) for r in got if not r["y"] and r["n"]]
     weight = sum(n * math.exp(-min(50.0, model.scale * b)) for n, b in clean)
     model.k = min(1.0, max(1e-6, len(clean) / weight)) if weight > 0 else 0.1
@@ -278,8 +282,9 @@ def _calibrate(model: Toxicity, rows: DataFrame, known: DataFrame) -> None:
 def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
     """docs plus the probability that label 1 holds, and n_passages, the number of significant segments.
 
-    Null and empty texts score as texts without a scored token. Each row is scored on its own text alone, so repeated
-    rows, null ids and other columns do not matter.
+    Null and empty texts score as texts without a scored token; very long ones are scored whole. Each row is scored on its
+    own text alone, so repeated rows, null ids and other columns do not matter; columns of the two names are replaced. An
+    empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = (name, "n_passages")
