@@ -57,6 +57,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few numbers each that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Written rows of a few numbers each, marked for a broadcast where they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def empty_if_null(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
