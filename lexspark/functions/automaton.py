@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator, Mapping
 from typing import NamedTuple
@@ -39,7 +40,12 @@ class Dictionary:
             if own in self.values:
                 raise InvalidRequestError("Normalization collision: two keywords are equal once prepared")
             self.values[own] = v
+        self._measure()
+
+    def _measure(self) -> None:
         self.longest = max(map(len, self.values), default=0)
+        #: One less than each keyword's length.
+        self.sizes = {k: len(k) - 1 for k in self.values}
         self._machine = None
 
     def __reduce__(self):
@@ -56,7 +62,8 @@ class Dictionary:
 
 def _rebuild(values: dict[str, str], options: SearchOptions) -> Dictionary:
     d = Dictionary({}, options)
-    d.values, d.longest = values, max(map(len, values), default=0)
+    d.values = values
+    d._measure()
     return d
 
 
@@ -143,13 +150,14 @@ def _found(d: Dictionary, p: Prepared, everything: bool) -> list[tuple[int, int,
 
 def longest_first(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans kept by length, then start; a kept one removes all that overlap it. Result by start."""
+    starts: list[int] = []  # of the kept ones, which do not overlap, in order
     kept: list[tuple[int, int, str]] = []
-    taken: set[int] = set()
     for s in sorted(spans, key=lambda m: (m[0] - m[1], m[0])):
-        if not any(i in taken for i in range(s[0], s[1] + 1)):
-            taken.update(range(s[0], s[1] + 1))
-            kept.append(s)
-    return sorted(kept)
+        at = bisect_left(starts, s[0])
+        if (at == 0 or kept[at - 1][1] < s[0]) and (at == len(kept) or kept[at][0] > s[1]):
+            starts.insert(at, s[0])
+            kept.insert(at, s)
+    return kept
 
 
 def leftmost_longest(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -175,6 +183,18 @@ def parse(d: Dictionary, text: str) -> list[Match]:
     return sorted(_matches(d, p, spans), key=lambda m: (m.start, m.start - m.end, m.keyword))
 
 
+def parse_rows(d: Dictionary, text: str) -> list[tuple[int, int, str]]:
+    """(start, end, keyword) as parse gives them, without the objects where no option asks for more than a sort."""
+    o = d.options
+    p = prepare(text, o)
+    if p.starts is None and o.allow_overlaps and o.boundary is WordBoundary.NONE and not o.stop_on_first:
+        size = d.sizes
+        rows = [(e - size[k], -size[k], k) for e, k in d.raw(p.text)]
+        rows.sort()
+        return [(a, a - n, k) for a, n, k in rows]
+    return [m[:3] for m in parse(d, text)]
+
+
 def stream(d: Dictionary, text: str) -> Iterator[Match]:
     """Matches in raw order (end, then keyword), whatever stop_on_first says."""
     p = prepare(text, d.options)
@@ -231,10 +251,12 @@ def replace_all(d: Dictionary, text: str, transform) -> str:
 
 
 class Scanner:
-    """Chunks of one text; overlapping matches come out as they would from the whole. Offsets count from the start.
+    """Chunks of one text; its matches come out as they would from the whole, whatever the cuts. Offsets count from the
+    start of the text, and stop_on_first does not matter.
 
-    A match is given out once no later character can change what starts at or before it: with boundaries, once the
-    character behind it is known. Without overlaps, results are held back to a gap that no keyword can span.
+    With overlaps a match is given out once no later character can change what starts at or before it. Without them, it is
+    held back to the end of its cluster, the matches that overlap one another: a cluster is decided when no match to come
+    can reach into it. The tail begins one character before what is undecided, as that character may be a boundary.
     """
 
     def __init__(self, d: Dictionary):
@@ -248,32 +270,50 @@ class Scanner:
 
     def scan(self, chunk: str) -> list[Match]:
         self.tail += chunk
-        return self._give(len(self.tail) - self.d.longest)
+        return self._give(False)
 
     def finish(self) -> list[Match]:
-        out = self._give(len(self.tail))
+        out = self._give(True)
         self.reset()
         return out
 
-    def _give(self, upto: int) -> list[Match]:
+    def _give(self, last: bool) -> list[Match]:
         p = prepare(self.tail, self.d.options)
-        spans = _found(self.d, p, True)
-        if not self.d.options.allow_overlaps:
-            edge, last = 0, -1
-            for s in sorted(spans):
-                if s[0] > last:
-                    edge = s[0]
-                last = max(last, s[1])
-            upto = len(self.tail) if upto == len(self.tail) else min(upto, edge)
-            spans = longest_first([s for s in spans if s[1] < upto])
+        n = len(p.text)
+        # a match that is still to come, or whose boundary is not known, starts here or later
+        edge = n if last else max(0, n - self.d.longest)
+        found = [(s, self._place(p, s)) for s in _found(self.d, p, True) if self.offset == 0 or s[0] > 0]
+        spans = [s for s, place in found if place not in self.done]
+        if self.d.options.allow_overlaps:
+            ready = [s for s in spans if s[1] < edge]
+            keep = edge - self.d.longest
+        else:
+            decided: list[tuple[int, int, str]] = []
+            open_, reach = len(spans), -1
+            spans.sort()
+            for i, s in enumerate(spans):
+                if s[0] > reach:  # the cluster before ends
+                    if reach >= edge:
+                        break
+                    open_ = i
+                reach = max(reach, s[1])
+            if reach < edge:
+                open_ = len(spans)
+            decided, rest = spans[:open_], spans[open_:]
+            ready = longest_first(decided)
+            keep = min(edge, rest[0][0]) if rest else edge
         out = []
-        for m in _matches(self.d, p, spans):
-            place = (m.start + self.offset, m.end + self.offset, m.keyword)
-            if m.end < upto and place not in self.done:
-                self.done.add(place)
-                out.append(Match(*place, m.value))
-        keep = max(0, min(len(self.tail), upto if not self.d.options.allow_overlaps else len(self.tail)) - (2 * self.d.longest + 1))
-        self.offset += keep
-        self.tail = self.tail[keep:]
+        for start, end, k in ready:
+            place = self._place(p, (start, end, k))
+            self.done.add(place)
+            out.append(Match(*place, self.d.values[k]))
+        cut = p.span(keep, keep)[0] - 1 if 0 < keep < n else n - 1 if keep >= n else 0
+        cut = max(0, cut)
+        self.offset += cut
+        self.tail = self.tail[cut:]
         self.done = {x for x in self.done if x[1] >= self.offset}
         return out
+
+    def _place(self, p: Prepared, span: tuple[int, int, str]) -> tuple[int, int, str]:
+        a, b = p.span(span[0], span[1])
+        return a + self.offset, b + self.offset, span[2]

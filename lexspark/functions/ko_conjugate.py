@@ -1,13 +1,12 @@
-"""Surface forms of predicate stems, by a table of classes of their last syllable.
+"""Surface forms of predicate stems, from how their last syllable takes endings.
 
-A class says how the last syllable may look and what may follow: entries of `forms` are (vowel, finals, followers). The
-syllable is rebuilt with the vowel (its own if None) and each final; with followers each of them is appended, without
-followers the syllable stands alone. "=" as finals keeps the syllable as it is.
+Open stems follow one rule: the syllable stands alone, takes the finals of endings, or merges with the vowel of the past.
+Closed stems keep their final but for the changing ones, which a table names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 from .hangul import compose, decompose, has_coda
@@ -23,6 +22,9 @@ VOWEL = COMMON + NO + REO + POLITE
 FINALS, CONTRACTED, NOT_PAST = "ㅂㅆㄹㄴㅁ", "ㅆㄹㅁ", "ㅂㄹㄴㅁ"
 #: Forms of verbs that read better as something else.
 EDGE = frozenset(["아니", "입", "입니", "나는"])
+#: Vowels that an open stem's vowel contracts to with the past's, and what may follow it uncontracted.
+MERGED = {"ㅗ": "ㅘ", "ㅜ": "ㅝ", "ㅡ": "ㅝㅓㅏ", "ㅣ": "ㅕ"}
+OPEN = {"ㅗ": VOWEL + A + NEUN, "ㅜ": VOWEL + EO + NEUN, "ㅡ": NO + NEUN, "ㅣ": EO + NO + NEUN, "ㅟ": NO + NEUN} | dict.fromkeys("ㅞㅚㅙ", NO + NEUN)
 
 
 class Syllable(NamedTuple):
@@ -33,65 +35,81 @@ class Syllable(NamedTuple):
     adjective: bool
 
 
-class Class(NamedTuple):
-    name: str
-    applies: Callable[[Syllable], bool]
-    forms: list[tuple[str | None, str, str]]
+class Form(NamedTuple):
+    """Last syllables, by vowel and finals, and what may follow each of them ("": nothing)."""
 
-
-def _open(vowels: str) -> Callable[[Syllable], bool]:
-    return lambda s: s.coda == " " and s.vowel in vowels
-
-
-_REU = [(None, "=", NO + NEUN), ("ㅡ", NOT_PAST, ""), ("ㅝ", " ㅆ", ""), ("ㅓ", " ㅆ", ""), ("ㅏ", " ㅆ", ""), (None, "=", "")]
-_HA = [
-    (None, "=", COMMON + NO + NEUN + POLITE), ("ㅐ", "ㅆ", ""), ("ㅏ", NOT_PAST, ""), (None, "=", VOWEL + YEO + NEUN), ("ㅐ", " ", WITH_HAE), ("ㅏ", "ㅂ", ""), ("ㅐ", " ", ""),
+    vowel: str
+    finals: str
+    followers: str = ""
+
+
+def _open(s: Syllable) -> Iterator[Form]:
+    """Stems without a final: they take the finals of endings, and merge with the past's vowel where theirs does."""
+    if s.onset + s.vowel == "ㅎㅏ":
+        yield Form("ㅏ", " ", VOWEL + YEO + NEUN)
+        yield Form("ㅏ", NOT_PAST)
+        yield Form("ㅐ", " ㅆ")
+        yield Form("ㅐ", " ", WITH_HAE)
+        if s.adjective:
+            yield Form("ㅏ", " ")
+            yield Form("ㅣ", " ")
+        return
+    merged = "ㅕ" if s.onset + s.vowel == "ㄱㅟ" else MERGED.get(s.vowel, "")
+    yield Form(s.vowel, " ")
+    yield Form(s.vowel, " ", OPEN.get(s.vowel, VOWEL + WITH_HAE + NEUN))
+    yield Form(s.vowel, NOT_PAST if merged or s.vowel == "ㅟ" else FINALS)
+    for v in merged:
+        yield Form(v, " ㅆ")
+    if s.vowel == "ㅣ":
+        yield Form("ㅣ", "ㅂ", "니")
+
+
+#: Closed stems whose final changes, as (onsets, vowels, finals, adjectives only) -> forms beside the stem
+#: itself; "" stands for any, a blank vowel for the stem's own, "=" for its own final. The first that fits counts.
+CHANGING = [
+    ("", "ㅡㅏㅜ", "ㄹ", False, [(" ", "=", EO + REO), (" ", " ", NO + NEUN + POLITE), (" ", "ㄻㄴ", "")]),
+    ("ㅁ", "ㅓ", "ㄹ", False, [(" ", "=", EO + REO), (" ", " ", NO + NEUN + POLITE), (" ", "ㄻㄴ", "")]),
+    ("", "ㅏ", "ㅅ", False, [(" ", "=", NO + NEUN), (" ", " ", EU + EUN)]),
+    ("ㅁ", "ㅜ", "ㄷ", False, [(" ", "=", NO + NEUN), (" ", "ㄹ", "")]),
+    ("", "ㅜ", "ㄷ", False, [(" ", "=", NO + NEUN), (" ", " ", EO + WO + EU + EUN), (" ", "ㄹ", "")]),
+    ("", "ㅜ", "ㅂ", False, [(" ", "=", NO + NEUN), (" ", " ", WO + EU + EUN)]),
+    ("", "ㅓ", "ㅂ", True, [(" ", " ", WO + UN), (" ", " ㄴ", "")]),
+    ("", "", "ㅂ", True, [(" ", " ", WO + UN), (" ", " ", "")]),
+    ("", "ㅗ", "ㅎ", False, [(" ", "=", NO + NEUN), (" ", FINALS + " ", ""), ("ㅘ", " ", "")]),
+    ("", "", "ㅎ", True, [(" ", FINALS + " ", ""), ("ㅐ", CONTRACTED + " ", "")]),
 ]
 
-#: The first class that applies counts.
-CLASSES = [
-    Class("하다, adjectives", lambda s: s[:3] == ("ㅎ", "ㅏ", " ") and s.adjective, [*_HA, ("ㅣ", " ", ""), ("ㅏ", " ", "")]),
-    Class("하다", lambda s: s[:3] == ("ㅎ", "ㅏ", " "), _HA),
-    Class("ㅗ", _open("ㅗ"), [(None, "=", VOWEL + NO + A + NEUN), ("ㅗ", NOT_PAST, ""), ("ㅘ", " ㅆ", ""), (None, "=", "")]),
-    Class("ㅜ", _open("ㅜ"), [(None, "=", VOWEL + EO + NO + NEUN), ("ㅜ", NOT_PAST, ""), ("ㅝ", " ㅆ", ""), (None, "=", "")]),
-    Class("ㅡ", _open("ㅡ"), _REU),
-    Class("귀", lambda s: s[:3] == ("ㄱ", "ㅟ", " "), [(None, "=", NO + NEUN), ("ㅟ", NOT_PAST, ""), ("ㅕ", " ㅆ", ""), (None, "=", "")]),
-    Class("ㅟ", _open("ㅟ"), [("ㅟ", NOT_PAST, ""), (None, "=", NO + NEUN), (None, "=", "")]),
-    Class("ㅣ", _open("ㅣ"), [("ㅣ", NOT_PAST, ""), (None, "=", EO + NO + NEUN), ("ㅣ", "ㅂ", "니"), ("ㅕ", " ㅆ", ""), (None, "=", "")]),
-    Class("ㅞ ㅚ ㅙ", _open("ㅞㅚㅙ"), [(None, "=", NO + NEUN), (None, FINALS, ""), (None, "=", "")]),
-    Class("other open syllables", lambda s: s.coda == " ", [(None, FINALS, ""), (None, "=", VOWEL + WITH_HAE + NO + NEUN), (None, "=", "")]),
-    Class("final ㄹ", lambda s: s.coda == "ㄹ" and (s.vowel in "ㅡㅏㅜ" or (s.onset, s.vowel) == ("ㅁ", "ㅓ")), [(None, "=", EO + REO), (None, " ", NO + NEUN + POLITE), (None, "ㄻㄴ", ""), (None, "=", "")]),
-    Class("final ㅅ", lambda s: s.vowel == "ㅏ" and s.coda == "ㅅ", [(None, "=", NO + NEUN), ("ㅏ", " ", EU + EUN), (None, "=", "")]),
-    Class("묻다", lambda s: s[:3] == ("ㅁ", "ㅜ", "ㄷ"), [(None, "=", NO + NEUN), ("ㅜ", "ㄹ", ""), (None, "=", "")]),
-    Class("final ㄷ", lambda s: s.vowel == "ㅜ" and s.coda == "ㄷ", [(None, "=", NO + NEUN), ("ㅜ", " ", EO + WO + EU + EUN), ("ㅜ", "ㄹ", ""), (None, "=", "")]),
-    Class("눕다", lambda s: s.vowel == "ㅜ" and s.coda == "ㅂ", [(None, "=", NO + NEUN), ("ㅜ", " ", WO + EU + EUN), (None, "=", "")]),
-    Class("럽다", lambda s: s.adjective and s.vowel == "ㅓ" and s.coda == "ㅂ", [("ㅓ", " ", WO + UN), ("ㅓ", " ㄴ", ""), (None, "=", "")]),
-    Class("final ㅂ", lambda s: s.adjective and s.coda == "ㅂ", [(None, " ", WO + UN), (None, " ", ""), (None, "=", "")]),
-    Class("놓다", lambda s: s.vowel == "ㅗ" and s.coda == "ㅎ", [(None, "=", NO + NEUN), ("ㅗ", FINALS, ""), ("ㅘ", " ", ""), ("ㅗ", " ", ""), (None, "=", "")]),
-    Class("final ㅎ", lambda s: s.adjective and s.coda == "ㅎ", [(None, FINALS, ""), ("ㅐ", CONTRACTED, ""), ("ㅐ", " ", ""), (None, " ", ""), (None, "=", "")]),
-    Class("one closed syllable", lambda s: s.alone or (s.adjective and s.coda == "ㅆ"), [(None, "=", COMMON + EO + A + NO + EU + EUN + NEUN), (None, "=", "")]),
-    Class("others", lambda s: True, [(None, "=", "")]),
-]
+
+def _closed(s: Syllable) -> Iterator[Form]:
+    yield Form(s.vowel, s.coda)
+    for onsets, vowels, finals, adjective, forms in CHANGING:
+        if s.coda in finals and (not onsets or s.onset in onsets) and (not vowels or s.vowel in vowels) and (s.adjective or not adjective):
+            for vowel, coda, followers in forms:
+                yield Form(s.vowel if vowel == " " else vowel, s.coda if coda == "=" else coda, followers)
+            return
+    if s.alone or (s.adjective and s.coda == "ㅆ"):
+        yield Form(s.vowel, s.coda, COMMON + EO + A + NO + EU + EUN + NEUN)
 
 
-def _expand(last: str, onset: str, own: str, forms: Iterable[tuple[str | None, str, str]]) -> Iterable[str]:
-    for vowel, finals, followers in forms:
-        for syllable in [last] if finals == "=" else [compose(onset, vowel or own, c) for c in finals]:
-            yield from (syllable + f for f in followers) if followers else (syllable,)
+def _last(s: Syllable) -> set[str]:
+    """Surface forms of a stem's last syllable."""
+    found = _open(s) if s.coda == " " else _closed(s)
+    return {compose(s.onset, f.vowel, c) + x for f in found for c in f.finals for x in f.followers or ("",)}
 
 
 def conjugate(stems: Iterable[str], adjective: bool = False) -> set[str]:
     """All forms of stems (without 다)."""
-    out = set()
+    out: set[str] = set()
     for stem in stems:
         head, last = stem[:-1], stem[-1]
         onset, vowel, coda = decompose(last)
-        s = Syllable(onset, vowel, coda, not head, adjective)
-        forms = next(c for c in CLASSES if c.applies(s)).forms if vowel != " " else [(None, "=", "")]
-        out |= {head + f for f in _expand(last, onset, vowel, forms)}
-        if last == "르" and head and not has_coda(head[-1]):
+        if vowel == " ":
+            out.add(stem)
+            continue
+        own = Syllable(onset, vowel, coda, not head, adjective)
+        out |= {head + f for f in _last(own)}
+        if last == "르" and head and not has_coda(head[-1]) and decompose(head[-1])[1] != " ":
             # 고르다 -> 골라
             o, v, _ = decompose(head[-1])
-            if v != " ":
-                out |= {head[:-1] + compose(o, v, "ㄹ") + f for f in _expand(last, onset, vowel, _REU)}
+            out |= {head[:-1] + compose(o, v, "ㄹ") + f for f in _last(own)}
     return out if adjective else out - EDGE

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import LexsparkError
-from ..functions import blockwords, ja_segment, ko_chunk, ko_phrases, ko_text, ko_tokenize
+from ..functions import blockwords, ja_segment, ko_chunk, ko_conjugate, ko_phrases, ko_text, ko_tokenize
 from ..functions.blockwords import Tiers
 from ..functions.ko_lexicon import Lexicon
 from ..options import BlockwordOptions
@@ -110,3 +110,26 @@ def ja_mask(text: Column, lexicon: Mapping[str, str], tiers: Tiers, options: Blo
         return {"status": 200, "masked": masked, "blockwords": found}
 
     return per_text(text, "struct<status:int,masked:string,blockwords:array<string>>", _MASKED, f)
+
+
+def ko_forms(stem: Column, adjective: bool = False) -> Column:
+    """All surface forms of a predicate's stem, in order."""
+    return per_text(stem, "array<string>", pa.list_(pa.string()), lambda t: sorted(ko_conjugate.conjugate([t], adjective)) if t else [])
+
+
+def ko_punctuation(text: Column) -> Column:
+    """The chunks between the first and the last, and whether they go."""
+    kind = pa.struct([("text", pa.string()), ("gone", pa.bool_())])
+    return per_text(text, "array<struct<text:string,gone:boolean>>", pa.list_(kind), lambda t: [{"text": c.text, "gone": bool(gone)} for c, gone in blockwords.find_punctuation(t)])
+
+
+def ko_word_kinds(word: Column, lex: Lexicon) -> Column:
+    """Whether the word is a person's name, a number, or a variation of a name."""
+    kind = pa.struct([(c, pa.bool_()) for c in ("name", "number", "variation")])
+    f = lambda w: {"name": ko_tokenize.is_name(w, lex), "number": ko_tokenize.is_number(w), "variation": ko_tokenize.is_name_variation(w, lex)}
+    return per_text(word, "struct<name:boolean,number:boolean,variation:boolean>", kind, f)
+
+
+def ko_josa_fits(noun: Column, josa: Column) -> Column:
+    """Whether the particle may follow the noun's last syllable; null for an empty noun."""
+    return per_text(F.array(noun, josa), "boolean", pa.bool_(), lambda x: ko_tokenize.josa_attachable(x[0][-1], x[1]) if x[0] and x[1] else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping
 
 import pyarrow as pa
@@ -9,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import InvalidRequestError
+from ..errors import InvalidRequestError, LexsparkError
 from ..functions import automaton as engine
 from ..functions.search import quoted
 from ..options import SearchOptions
 
 MATCHES = "array<struct<start:int,end:int,keyword:string,value:string>>"
 _MATCH = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("keyword", pa.string()), ("value", pa.string())])
+MATCH_LIST = pa.list_(_MATCH)
 _TOKEN = pa.struct([("kind", pa.string()), ("text", pa.string()), ("value", pa.string())])
 TOKENS = "array<struct<kind:string,text:string,value:string>>"
 
@@ -36,14 +38,25 @@ def dictionary_from(df: DataFrame, keyword: str = "keyword", value: str = "value
 
 def balanced(df: DataFrame) -> DataFrame:
     """Rows dealt over the cores where the scan gives fewer splits than there are cores."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Join|Aggregate|Window|Exchange|Sort|Group|Limit|Arrow|Python|Generate", plan):
+        return df  # counting its splits would run it
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
 def _per_text(text: Column, kind: pa.DataType, schema: str, f: Callable[[str], object]) -> Column:
+    """Column of f over the texts; nulls stay, and a text that f refuses becomes null."""
+
+    def safe(t: str) -> object:
+        try:
+            return f(t)
+        except LexsparkError:
+            return None
+
     @F.arrow_udf(schema)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], kind)
+        return pa.array([None if t is None else safe(t) for t in texts.to_pylist()], kind)
 
     return run(text)
 
@@ -53,7 +66,27 @@ def _as_dict(m: engine.Match) -> dict:
 
 
 def parse(text: Column, d: engine.Dictionary) -> Column:
-    return _per_text(text, pa.list_(_MATCH), MATCHES, lambda t: [_as_dict(m) for m in engine.parse(d, t)])
+    """All matches of each text, made as Arrow columns; a text that is refused gives null."""
+
+    @F.arrow_udf(MATCHES)
+    def run(texts: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        mask = []
+        for t in texts.to_pylist():
+            try:
+                rows += engine.parse_rows(d, t) if t is not None else ()
+                mask.append(t is None)
+            except LexsparkError:
+                mask.append(True)
+            ends.append(len(rows))
+        starts, stops, words = zip(*rows, strict=True) if rows else ((), (), ())
+        kinds = {k: i for i, k in enumerate(d.values)}
+        at = pa.array([kinds[w] for w in words], pa.int32())
+        word, value = (pa.array(x, pa.string()).take(at) for x in (list(kinds), list(d.values.values())))
+        items = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), word, value], fields=list(_MATCH))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array(mask, pa.bool_()))
+
+    return run(text)
 
 
 def first(text: Column, d: engine.Dictionary) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..errors import InvalidRequestError
+from ..errors import InvalidRequestError, LexsparkError
 from ..functions import automaton as engine
 from ..options import Normalization, SearchOptions
 
@@ -139,7 +139,8 @@ RESULT = "struct<status:int,redacted:string,spans:array<struct<start:int,end:int
 
 
 def redact(text: Column, policy: Policy) -> Column:
-    """struct(status, redacted, spans): status 200, or 413 with nothing else for a text beyond the policy's length."""
+    """struct(status, redacted, spans): status 200, or 413 with nothing else for a text beyond the policy's length and
+    400 for one that is refused otherwise."""
     redactor = Redactor(policy)
 
     @F.arrow_udf(RESULT)
@@ -151,7 +152,11 @@ def redact(text: Column, policy: Policy) -> Column:
             elif len(t) > policy.max_length:
                 out.append({"status": 413, "redacted": None, "spans": None})
             else:
-                r, spans = redactor.redact(t)
+                try:
+                    r, spans = redactor.redact(t)
+                except LexsparkError:
+                    out.append({"status": 400, "redacted": None, "spans": None})
+                    continue
                 out.append({"status": 200, "redacted": r, "spans": [dict(zip(("start", "end", "category", "rule_ids"), s, strict=True)) for s in spans]})
         return pa.array(out, _RESULT)
 

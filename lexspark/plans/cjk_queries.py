@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blockwords, hangul, ja_segment, ko_text
-from ..functions.ko_conjugate import conjugate
 from ..functions.ko_lexicon import sample_lexicon
-from ..functions.ko_tokenize import is_name, is_name_variation, is_number, josa_attachable
 from ..operators import cjk, language, redaction
 from ..options import BlockwordOptions, Severity
 from .queries import query
@@ -148,8 +146,9 @@ def _(spark):
 
 @case("ko_conjugate", "stem, form, found", [("귀엽", "귀여운", True), ("귀엽", "귀여워", True), ("고르", "골라", True), ("만들", "만든", True), ("먹", "먹는", True), ("먹", "먹운", False)])
 def _(spark):
-    asked = [("귀엽", "귀여운", True), ("귀엽", "귀여워", True), ("고르", "골라", False), ("만들", "만든", False), ("먹", "먹는", False), ("먹", "먹운", False)]
-    return spark.createDataFrame([(s, f, f in conjugate({s}, adj)) for s, f, adj in asked], "stem string, form string, found boolean")
+    asked = spark.createDataFrame([("귀엽", "귀여운", True), ("귀엽", "귀여워", True), ("고르", "골라", False), ("만들", "만든", False), ("먹", "먹는", False), ("먹", "먹운", False)], "stem string, form string, adjective boolean")
+    forms = F.when(F.col("adjective"), cjk.ko_forms(F.col("stem"), True)).otherwise(cjk.ko_forms(F.col("stem")))
+    return asked.select("stem", "form", F.array_contains(forms, F.col("form")).alias("found"))
 
 
 @case("ko_phrases", "text, phrases", [("트위터 25.2% 상승.", "트위터/0/3,트위터 25.2%/0/9,트위터 25.2% 상승/0/12,25.2%/4/5,상승/10/2")])
@@ -177,7 +176,7 @@ def _(spark):
 
 @case("ko_find_punct", "text, n", [("뭐 ~ . ~ 했니", 7), ("바.보", 1)])
 def _(spark):
-    return spark.createDataFrame([(t, sum(gone for _, gone in blockwords.find_punctuation(t))) for t in ("뭐 ~ . ~ 했니", "바.보")], "text string, n int")
+    return _texts(spark, "뭐 ~ . ~ 했니", "바.보").select("text", F.size(F.filter(cjk.ko_punctuation(F.col("text")), lambda c: c["gone"])).alias("n"))
 
 
 _TIERS = blockwords.Tiers({"바보": Severity.LOW, "멍청이": Severity.HIGH, "馬鹿": Severity.LOW, "馬鹿野郎": Severity.HIGH})
@@ -210,13 +209,13 @@ def _(spark):
 
 @case("ko_names", "word, name, number, variation", [("김민수", True, False, True), ("우혀니", False, False, True), ("삼백", False, True, False), ("홍길동", True, False, True)])
 def _(spark):
-    lex = sample_lexicon()
-    return spark.createDataFrame([(w, is_name(w, lex), is_number(w), is_name_variation(w, lex)) for w in ("김민수", "우혀니", "삼백", "홍길동")], "word string, name boolean, number boolean, variation boolean")
+    return _texts(spark, "김민수", "우혀니", "삼백", "홍길동").select(F.col("text").alias("word"), cjk.ko_word_kinds(F.col("text"), sample_lexicon()).alias("k")).select("word", "k.*")
 
 
 @case("ko_josa_attachable", "noun, josa, fits", [("사람", "은", True), ("사람", "는", False), ("나라", "는", True), ("나라", "은", False)])
 def _(spark):
-    return spark.createDataFrame([(n, j, josa_attachable(n[-1], j)) for n, j in (("사람", "은"), ("사람", "는"), ("나라", "는"), ("나라", "은"))], "noun string, josa string, fits boolean")
+    asked = spark.createDataFrame([("사람", "은"), ("사람", "는"), ("나라", "는"), ("나라", "은")], "noun string, josa string")
+    return asked.select("noun", "josa", cjk.ko_josa_fits(F.col("noun"), F.col("josa")).alias("fits"))
 
 
 _JA = "私は、日本語の勉強をしています。"

@@ -8,11 +8,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidRequestError
 from ..functions import requests, scripts, search
 from ..operators import language, matching, redaction
 from ..options import Normalization, SearchOptions, WordBoundary
 from ..sources.dictionaries import VersionedDictionary, cumulative_tiers, words_in, words_out
-from ..streaming.scanner import chunked, scan_table
+from ..streaming.scanner import chunks, scan_chunks
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,8 +104,10 @@ def _(spark, d):
     return _rows(matching.without_overlaps(matching.matches(documents(spark, d), matching.dictionary(NESTED))))
 
 
-@query("interval_overlaps", f"""WITH {_positions(NESTED)} SELECT a.doc_id, a.start, a."end", b.start AS other_start, b."end" AS other_end
-    FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.keyword = 'tion' AND b.keyword <> 'tion' AND a.start <= b."end" AND a."end" >= b.start""")
+@query("interval_overlaps", f"""WITH {_positions(NESTED)}, s AS MATERIALIZED (SELECT doc_id, keyword, start, "end" FROM m),
+    x AS (SELECT *, unnest(range(start // 64, "end" // 64 + 1)) AS block FROM s)
+    SELECT a.doc_id, a.start, a."end", b.start AS other_start, b."end" AS other_end FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.block = b.block
+    WHERE a.keyword = 'tion' AND b.keyword <> 'tion' AND a.start <= b."end" AND a."end" >= b.start AND a.block = greatest(a.start, b.start) // 64""")
 def _(spark, d):
     m = matching.matches(documents(spark, d), matching.dictionary(NESTED))
     return matching.overlapping_pairs(m.where("keyword = 'tion'"), m.where("keyword <> 'tion'"))
@@ -177,10 +180,25 @@ def _(spark, d):
     return matching.balanced(documents(spark, d)).select("doc_id", matching.replace_all(F.col("text"), matching.dictionary({"tion": "<1>", "the": "<2>"})).alias("replaced"))
 
 
+def _scanned(spark, d, own, size=37):
+    found = matching.balanced(documents(spark, d)).select("doc_id", F.explode(scan_chunks(chunks(F.col("text"), size), own)).alias("m"))
+    return found.select("doc_id", "m.*")
+
+
 @query("ac_scan", _ALL)
 def _(spark, d):
-    found = scan_table(chunked(documents(spark, d), 37), matching.dictionary(WORDS))
-    return found.select(F.col("stream_id").cast("long").alias("doc_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "keyword")
+    return _rows(_scanned(spark, d, matching.dictionary(WORDS)))
+
+
+@query("ac_scan_nonoverlap", _NESTED_SQL)
+def _(spark, d):
+    return _rows(_scanned(spark, d, matching.dictionary(NESTED, SearchOptions(allow_overlaps=False))))
+
+
+@query("ac_scan_boundary", rf"""WITH {_positions(["the", "of"])} SELECT doc_id, start, "end", keyword FROM m
+    WHERE NOT regexp_matches(substr(t, start, CAST(start > 0 AS INTEGER)), '\S') AND NOT regexp_matches(substr(t, "end" + 2, 1), '\S')""")
+def _(spark, d):
+    return _rows(_scanned(spark, d, matching.dictionary(["the", "of"], SearchOptions(boundary=WordBoundary.WHITESPACE_SEPARATED))))
 
 
 @query("ac_flow", f"""WITH {_positions(WORDS)} SELECT doc_id, start, "end", keyword FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "end", keyword) <= 5""")
@@ -315,7 +333,11 @@ def _(spark, d):
 
 @query("dict_versions", "SELECT n_name AS word FROM nation WHERE n_regionkey <> 0 UNION SELECT r_name FROM region")
 def _(spark, d):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidRequestError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp()
     nation, region = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
     v = VersionedDictionary(spark, f"{shared.rstrip('/')}/dictionaries", "names", history=3)
     v.reload("names", 1, lambda: nation.select(F.col("n_name").alias("word")))
@@ -352,7 +374,7 @@ def _(spark, d):
 def _(spark, d):
     own = matching.dictionary(["the", "he", "tion", "ion"])
     eager = matching.matches(documents(spark, d), own).select("doc_id", F.col("start").cast("long").alias("start"), "keyword")
-    lazy = scan_table(chunked(documents(spark, d), 53), own).select(F.col("stream_id").cast("long").alias("doc_id"), "start", "keyword")
+    lazy = _scanned(spark, d, own, 53).select("doc_id", F.col("start").cast("long").alias("start"), "keyword")
     return eager.exceptAll(lazy).unionAll(lazy.exceptAll(eager)).agg(F.count(F.lit(1)).cast("int").alias("n_different"))
 
 

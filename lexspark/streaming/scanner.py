@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import automaton as engine
+from ..operators.matching import MATCH_LIST, MATCHES
 
 _OUT = "stream_id string, start long, end long, keyword string, value string"
 _STATE = "tail string, offset long, done string"
@@ -65,9 +67,26 @@ def scan_table(chunks: DataFrame, d: engine.Dictionary) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandas(run, _OUT)
 
 
+def chunks(text: Column, size: int) -> Column:
+    """The text cut every `size` characters in one pass; an empty text is one empty chunk."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
 def chunked(texts: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """stream_id, seq, chunk, is_last of texts cut every `size` characters; native."""
-    n = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
-    return texts.select(F.col(key).cast("string").alias("stream_id"), F.col(text), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq")).select(
-        "stream_id", "seq", F.expr(f"substr({text}, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last")
-    )
+    cut = texts.select(F.col(key).cast("string").alias("stream_id"), chunks(F.col(text), size).alias("cut"))
+    return cut.select("stream_id", F.size("cut").alias("n"), F.posexplode("cut").alias("seq", "chunk")).select("stream_id", "seq", "chunk", (F.col("seq") == F.col("n") - 1).alias("is_last"))
+
+
+def scan_chunks(cut: Column, d: engine.Dictionary) -> Column:
+    """The same for texts whose chunks stand in one array each: no shuffle. Null arrays stay null, null chunks are empty."""
+
+    def scan(own: list[str | None]) -> list[dict]:
+        scanner = engine.Scanner(d)
+        return [m._asdict() for c in own for m in scanner.scan(c or "")] + [m._asdict() for m in scanner.finish()]
+
+    @F.arrow_udf(MATCHES)
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else scan(v) for v in values.to_pylist()], MATCH_LIST)
+
+    return run(cut)

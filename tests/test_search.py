@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexspark.errors import InvalidRequestError
 from lexspark.functions import automaton as engine
@@ -10,6 +11,7 @@ from lexspark.functions.automaton import Dictionary, Machine
 from lexspark.functions.offsets import utf16_length
 from lexspark.operators import matching
 from lexspark.options import Normalization, SearchOptions, WordBoundary
+from lexspark.streaming.scanner import chunked, chunks, scan_chunks, scan_table
 
 TEXT = st.text(alphabet="abcAB é", max_size=40)
 KEYS = st.sets(st.text(alphabet="abc", min_size=1, max_size=4), min_size=1, max_size=8)
@@ -26,16 +28,44 @@ def test_all_matches(keys, text):
     assert list(Machine(keys).run(text)) == sorted((e, k) for _, e, k in naive(keys, text))
 
 
-@settings(max_examples=200, deadline=None)
-@given(KEYS, TEXT, st.lists(st.integers(0, 40), max_size=5), st.booleans())
-def test_scanner_equals_parse(keys, text, cuts, overlaps):
-    d = Dictionary(keys, SearchOptions(allow_overlaps=overlaps))
+@settings(max_examples=400, deadline=None)
+@given(KEYS, TEXT, st.lists(st.integers(0, 40), max_size=5), st.booleans(), st.booleans(), st.sampled_from(list(WordBoundary)))
+def test_scanner_equals_parse(keys, text, cuts, overlaps, ignore_case, boundary):
+    d = Dictionary(keys, SearchOptions(allow_overlaps=overlaps, ignore_case=ignore_case, boundary=boundary))
     scanner, out, last = engine.Scanner(d), [], 0
     for c in sorted(c for c in cuts if c < len(text)):
         out += scanner.scan(text[last:c])
         last = c
     out += scanner.scan(text[last:]) + scanner.finish()
     assert sorted(out) == sorted(engine.parse(d, text))
+    assert engine.parse_rows(d, text) == [m[:3] for m in engine.parse(d, text)]
+
+
+def test_scanner_decides_clusters_whole():
+    d = Dictionary({"a", "aa"}, SearchOptions(allow_overlaps=False))
+    s = engine.Scanner(d)
+    assert sorted(s.scan("aaAAAAAa") + s.finish()) == sorted(engine.parse(d, "aaAAAAAa"))
+    d = Dictionary({"run"}, SearchOptions(boundary=WordBoundary.WHITESPACE_SEPARATED))
+    s = engine.Scanner(d)
+    assert s.scan("xrun aaa") + s.scan(" b") + s.finish() == []
+    s = engine.Scanner(Dictionary({"a"}, SearchOptions(stop_on_first=True)))
+    assert [m.start for m in s.scan("a a") + s.finish()] == [0, 2]
+
+
+def test_refused_texts_are_null(spark):
+    rows = spark.createDataFrame([(1, "e" + "́" * 2000), (2, "é"), (3, None)], "id int, text string")
+    own = matching.dictionary(["é"], SearchOptions(normalization=Normalization.NFC))
+    got = {r.id: r.m for r in rows.select("id", matching.parse(rows["text"], own).alias("m")).collect()}
+    assert got[1] is None and got[3] is None and [m.start for m in got[2]] == [0]
+
+
+def test_chunk_tables_and_arrays_agree(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, "".join(rng.choices("ab\n ", k=rng.randrange(60)))) for i in range(30)] + [(99, None)], "doc_id long, text string")
+    own = matching.dictionary(["ab", "aba", "b"], SearchOptions(allow_overlaps=False))
+    table = {(int(r.stream_id), r.start, r.end, r.keyword) for r in scan_table(chunked(rows, 7), own).collect()}
+    arrays = rows.select("doc_id", F.explode(scan_chunks(chunks(F.col("text"), 7), own)).alias("m")).select("doc_id", "m.*")
+    assert table == {(r.doc_id, r.start, r.end, r.keyword) for r in arrays.collect()} and table
 
 
 @settings(max_examples=200, deadline=None)

@@ -149,3 +149,12 @@ def test_masks_keep_the_length(spark):
 
     rows = df.select(search.mask_matches(F.col("text"), ["apple"], "*", SearchOptions(ignore_case=True)).alias("m")).collect()
     assert [r.m for r in rows] == ["the ***** and an *****", ""]
+
+
+def test_scores_by_rows_and_by_joins_agree(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "", "de"), (4, None, "en"), (5, "##", "en"), (6, "the Hund 🔥 and", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, least=1)
+    some = lambda df: {(r.doc_id, r.lang): (round(r.score, 9), round(r.confidence, 9)) for r in df.collect()}
+    assert some(language.scores(docs, model)) == some(language._joined_scores(docs, model, "doc_id", "text", 3, -12.0))
+    assert {r.doc_id: r.detected for r in language.detect(docs, model).collect()} == {1: "en", 2: "de", 3: "UNKNOWN", 4: "UNKNOWN", 5: "UNKNOWN", 6: "de"} | {6: language.detect(docs, model).where("doc_id = 6").first().detected}
