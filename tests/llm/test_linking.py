@@ -3,10 +3,9 @@
 import random
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from lexspark.llm import embedding_dedup
+from lexspark.llm import embedding_dedup, queries
 from lexspark.llm.common import edges_to_components
 from lexspark.llm.linking import link_buckets
 
@@ -27,28 +26,29 @@ def components(nodes, linked):
     return {n: top(n) for n in nodes}
 
 
-def test_buckets_are_compared_whole(spark):
-    """Chains: few members are near the leader, and a near pair shares one bucket."""
+def test_buckets_are_linked_by_rounds(spark):
+    """Chains: few members are near the leader, a near pair shares one bucket, and finer buckets hold near ones together."""
     rng = random.Random(3)
     where = {n: rng.randrange(2000) if n < 300 else 10_000 + 3 * n for n in range(600)}
     near = lambda a, b: abs(where[a] - where[b]) <= 9
     buckets = [(t, k) for t in range(2) for k in range(2)]
     members = {b: [n for n in range(600) if rng.random() < 0.5] for b in buckets}
-    rows = spark.createDataFrame([(t, k, n, True) for (t, k), own in members.items() for n in own], "table int, key long, node long, home boolean")
+    rows = spark.createDataFrame([(10 * t + k, n) for (t, k), own in members.items() for n in own], "bucket long, node long")
     place = F.udf(lambda n: where[n], "int")
 
-    def rest(blocks):
-        def compare(pdf):
-            n = pdf["node"].tolist()
-            return pd.DataFrame([(x, y) for x in n for y in n if x > y and near(x, y)], columns=["a", "b"], dtype="int64")
+    def refine(nodes, level):
+        width = 40 >> min(level, 1)
+        at = nodes.withColumn("x", place("node"))
+        return at.select(F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.floor((F.col("x") + s) / width).alias("i")) for s in (0, width // 2)))).alias("k"), "node").select(F.xxhash64("k.s", "k.i").alias("bucket"), "node")
 
-        return blocks.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
-
-    found = link_buckets(rows, lambda pairs: pairs.select("a", "b", (F.abs(place("a") - place("b")) <= 9).alias("ok")), rest)
+    found = link_buckets(rows, lambda pairs: pairs.select("a", "b", (F.abs(place("a") - place("b")) <= 9).alias("ok")), refine)
     got = {r["node"]: r["component"] for r in edges_to_components(found).collect()}
     together = {(x, y) for own in members.values() for x in own for y in own}
     wanted = components(range(600), lambda x, y: (x, y) in together and near(x, y))
-    assert {n: got.get(n, n) for n in range(600)} == wanted
+    whole = components(range(600), near)
+    # what shares a bucket is linked; finer buckets may link more, but only what is near
+    assert all(got.get(n, n) == got.get(wanted[n], wanted[n]) for n in range(600))
+    assert all(whole[n] == whole[got.get(n, n)] for n in range(600))
 
 
 def test_vectors_in_stars_and_chains(spark):
@@ -66,3 +66,34 @@ def test_vectors_in_stars_and_chains(spark):
     wanted = components(range(len(x)), lambda a, b: close[a, b])
     assert {n: r["component_id"] for n, r in got.items()} == wanted
     assert [got[n]["n_links"] for n in range(len(x))] == (close.sum(axis=1) - 1).tolist()
+
+
+def test_query_on_planted_pairs(spark, tmp_path):
+    """Pairs at cosines of 0.93 to 0.99, equal vectors, scaled ones, invalid ones, a hot group of near copies."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v)
+    rows, i = [], 0
+    for c in (0.93, 0.949, 0.951, 0.955, 0.96, 0.97, 0.99):
+        for _ in range(40):
+            z = unit(rng.normal(size=64))
+            n = rng.normal(size=64)
+            y = c * z + np.sqrt(1 - c * c) * unit(n - (n @ z) * z)
+            rows += [(i, z.tolist()), (i + 1, (3 * y).tolist())]
+            i += 2
+    center = unit(rng.normal(size=64))
+    rows += [(10_000 + k, (center + rng.normal(size=64) * 0.012).tolist()) for k in range(700)]
+    rows += [(20_000 + k, center.tolist()) for k in range(300)] + [(30_000, None), (30_001, [0.0] * 64), (30_002, [float("nan")] * 64), (30_003, [None] * 64), (30_004, [1e-200] + [0.0] * 63), (30_005, [0.0, 1e-200] + [0.0] * 62)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in queries.queries()["op8_embedding_dedup"](spark, str(tmp_path)).collect()}
+    own = {i: unit(np.array(v) / np.abs(v).max()) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids = sorted(own)
+    close = (x := np.array([own[i] for i in ids])) @ x.T >= embedding_dedup.COSINE
+    want = dict(zip(ids, close.sum(axis=1) - 1, strict=True))
+    assert sorted(got) == sorted(i for i, _ in rows)
+    links = sum(want.values())
+    found = sum(r.n_links for r in got.values())
+    assert all(got[i].n_links <= want.get(i, 0) for i in got) and found >= 0.98 * links
+    planted = [i for i in want if i < 10_000 and want[i]]
+    assert sum(got[i].n_links == want[i] for i in planted) >= 0.9 * len(planted)
+    parts = components([i for i in ids if i >= 10_000], lambda a, b: own[a] @ own[b] >= embedding_dedup.COSINE)
+    assert all(got[i].component_id == part and got[i].kept == (i == part) for i, part in parts.items())

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexspark.llm import exact_dedup, line_dedup, minhash_dedup, quality, queries, stages, toxicity
+from lexspark.llm import minhash_dedup, queries, stages, toxicity
 from lexspark.llm.minhash_dedup import near, words
 
 TOXIC = ["scumword", "trashword", "idiotword"]
@@ -127,7 +127,3 @@ def test_pipeline(spark, folder):
     assert max(loads.values()) <= 1024
     ids = {r.doc_id for r in rows}
     assert sum(1000 <= i < 1030 for i in ids) == 0 and 2000 not in ids and len(ids) > 300
-
-
-def test_parts_are_used():
-    assert exact_dedup.SQL and line_dedup.SQL and quality.BUCKETS
