@@ -39,7 +39,7 @@ class TreeBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int, int], list[int]] = {}
         self.nodes: dict[bytes, list[int]] = {}
         self.joins = 0
         self.single = [ranks[bytes([x])] for x in range(256)]
@@ -100,28 +100,34 @@ class TreeBpe:
             i = ends[i]
         return out
 
-    def holds(self, a: int, b: int) -> bool:
-        if (a, b) not in self.pairs:
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of the bytes of two tokens."""
+        found = self.pairs.get((a, b))
+        if found is None:
             if len(self.pairs) > 500_000:
                 self.pairs.clear()
-            self.pairs[a, b] = self.merge(self.bytes[a] + self.bytes[b]) == [a, b]
-        return self.pairs[a, b]
+            whole = self.merged.get((a, b))
+            found = self.pairs[a, b] = [whole] if whole is not None else self.merge(self.bytes[a] + self.bytes[b])
+        return found
+
+    def holds(self, a: int, b: int) -> bool:
+        return self.pair(a, b) == [a, b]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         if not a or not b:
             return a or b
         self.joins += 1
-        if self.holds(a[-1], b[0]):
+        window = self.pair(a[-1], b[0])
+        if window == [a[-1], b[0]]:
             return a + b
         i = j = 1
         while True:
-            i, j = min(i, len(a)), min(j, len(b))
-            window = self.merge(b"".join(map(self.bytes.__getitem__, a[-i:] + b[:j])))
             left = i == len(a) or self.holds(a[-i - 1], window[0])
             right = j == len(b) or self.holds(window[-1], b[j])
             if left and right:
                 return a[: len(a) - i] + window + b[j:]
-            i, j = i if left else 2 * i, j if right else 2 * j
+            i, j = min(i if left else 2 * i, len(a)), min(j if right else 2 * j, len(b))
+            window = self.merge(b"".join(map(self.bytes.__getitem__, a[-i:] + b[:j])))
 
     def encode(self, data: bytes) -> list[int]:
         """Leaves are single bytes; results of short inner nodes are kept, as many pieces share them."""
@@ -139,8 +145,8 @@ class TreeBpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes concatenated up the tree of the ids."""
-        if len(ids) <= 1:
-            return self.bytes[ids[0]] if ids else b""
+        if len(ids) <= 2:
+            return b"".join([self.bytes[i] for i in ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
