@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -113,7 +112,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(data: pd.Series) -> np.ndarray:
+def _rows(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), dtype=np.float64).reshape(len(data), -1)
 
 
@@ -215,24 +214,54 @@ def _forest(close: np.ndarray) -> Iterator[tuple[int, int]]:
             edge, left = left[hit], left[~hit]
 
 
-def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one group: (node, n, null) with the rows that link with the node here, and edges (node, null, other)."""
-    counts, edges = [], []
-    for _, own in pdf.groupby(pdf["unit"].map(len)):
-        node, rows, core, t = (own[c].to_numpy() for c in ("node", "rows", "core", "t"))
-        x = _rows(own["unit"])
-        close = linked(x, x)
-        if own["i"].iloc[0] != own["j"].iloc[0]:  # pairs of one tile belong to that tile's own group
-            close &= t[:, None] != t[None, :]
-        np.fill_diagonal(close, False)
-        edges += [(node[a], None, node[b]) for a, b in _forest(close)]
-        cored = core >= 0
-        new = close & ~((core[:, None] == core[None, :]) & cored[:, None])
-        if new.any():
-            new &= ~_earlier([np.asarray(b, dtype=np.int64) for b in own["buckets"]], int(own["bucket"].iloc[0]))
-            n = new @ rows
-            counts += [(a, int(k), None) for a, k in zip(node, n, strict=True) if k]
-    return pd.DataFrame(counts + edges, columns=["node", "n", "other"]).astype({"node": "int64", "n": "Int64", "other": "Int64"})
+def _compare(group: dict[str, np.ndarray], buckets: list[np.ndarray], x: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of one group, with vectors x of one dimension: (node, rows that link with it here), and edges."""
+    node, core, t = group["node"], group["core"], group["t"]
+    close = linked(x, x)
+    if group["i"][0] != group["j"][0]:  # pairs of one tile belong to that tile's own group
+        close &= t[:, None] != t[None, :]
+    np.fill_diagonal(close, False)
+    if not close.any():
+        return [], []
+    edges = [(node[a], node[b]) for a, b in _forest(close)]
+    new = close & ((core[:, None] != core[None, :]) | (core < 0)[:, None])
+    some = np.flatnonzero(new.any(axis=1))
+    if not len(some):
+        return [], edges
+    new = new[np.ix_(some, some)]
+    new &= ~_earlier([buckets[k] for k in some], int(group["bucket"][0]))
+    n = new @ group["rows"][some]
+    return [(a, k) for a, k in zip(node[some], n, strict=True) if k], edges
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that come group by group (bucket, i, j): (node, n, null) with the rows that link with the node there, and
+    edges (node, null, other). One group and one batch are held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not len(batch):
+            continue
+        held = held if batch is None else [*held, batch]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).combine_chunks()
+        flat = {c: whole.column(c).to_numpy() for c in ("bucket", "i", "j", "t", "node", "core", "rows")}
+        changed = np.any([flat[c][1:] != flat[c][:-1] for c in ("bucket", "i", "j")], axis=0)
+        bounds = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        if batch is None:
+            bounds.append(len(whole))
+        held = whole.slice(bounds[-1]).to_batches()  # may go on in the next batch
+        lists, data = whole.column("buckets").to_pylist() if bounds[-1] else [], whole.column("unit").to_pylist()
+        counts, edges = [], []
+        for low, high in itertools.pairwise(bounds):
+            sizes = np.array([len(u) for u in data[low:high]])
+            for d in np.unique(sizes):
+                at = low + np.flatnonzero(sizes == d)
+                found = _compare({c: v[at] for c, v in flat.items()}, [np.array(lists[k], dtype=np.int64) for k in at], _rows([data[k] for k in at]))
+                counts += found[0]
+                edges += found[1]
+        node, n, other = [a for a, _ in counts] + [a for a, _ in edges], [int(k) for _, k in counts] + [None] * len(edges), [None] * len(counts) + [b for _, b in edges]
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(other, pa.int64())], ["node", "n", "other"])
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -256,7 +285,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     full = materialize(lists.join(classes, "node").join(cores, "node", "left").select("node", "buckets", "unit", "rows", "core"))
     dealt = materialize(_tiles(members.join(cores, "node", "left").select("bucket", "node", "n", "core")))
     groups = dealt.drop("core").join(full, "node").withColumn("core", F.coalesce("core", F.lit(-1)))
-    found = materialize(groups.groupBy("bucket", "i", "j").applyInPandas(compare, "node long, n long, other long"))
+    # cells are many and small: they stream through as sorted rows, without a pandas frame each
+    groups = groups.select("bucket", "i", "j", "t", "node", "core", "rows", "unit", "buckets").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = materialize(groups.mapInArrow(compare, "node long, n long, other long"))
     edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(cores.select(F.col("node").alias("a"), F.col("core").alias("b")))
     parts = materialize(edges_to_components(edges))
     cored = cores.join(named.select("node", "rows"), "node")
