@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +37,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lexspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
+    out._scratch = [path]
+    return out
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of materialized tables of one schema, as one scan. Discarding it deletes them all."""
+    paths = [path for df in tables for path in df._scratch]
+    out = tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
+    out._scratch = paths
     return out
 
 
@@ -47,10 +59,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes the folders of materialized tables whose readers are done."""
     for df in tables:
-        path = getattr(df, "_scratch", None)
-        if path:
+        for path in getattr(df, "_scratch", None) or ():
             remove(df.sparkSession, path)
-            df._scratch = None
+        df._scratch = None
 
 
 def partitions(spark: SparkSession) -> int:
@@ -113,3 +124,49 @@ def edges_to_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a, b, sorted, and the smallest node of the component of each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    top = np.arange(len(nodes))
+    while len(x):
+        x, y = top[x], top[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+    return nodes, nodes[top]
+
+
+def _contract(most: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every node of `most` edges or a batch more with its root there, roots themselves only if whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if held and (batch is None or sum(map(len, held)) > most):
+                rows = pa.Table.from_batches(held)
+                node, root = _roots(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+                some = slice(None) if whole else node != root
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some])], ["node", "component"] if whole else ["a", "b"])
+                held = []
+
+    return run
+
+
+def components_of(edges: DataFrame, alone: int = BROADCAST_ROWS) -> DataFrame:
+    """What edges_to_components gives, written. Each task first contracts its edges to trees of height one, `alone` edges
+    at a time. If `alone` edges or fewer are left in all (two numbers each), one task finishes them: the last rounds of a
+    large table and all rounds of a small one have few. More are finished by the distributed rounds."""
+    trees = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_contract(alone, False), "a long, b long"))
+    if trees.count() > alone:
+        out = materialize(edges_to_components(trees))
+    else:
+        out = materialize(trees.coalesce(1).mapInArrow(_contract(alone, True), "node long, component long"))
+    discard(trees)
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, edges_to_components, materialize, spread, table
+from .common import components_of, discard, materialize, spread, table
 
 COSINE, TABLES, BLOCKS, PROBES, SCALE = 0.95, 10, 2, 2, 1.6
 #: Vectors of a cell that are compared at once.
@@ -289,7 +289,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
     groups = groups.select("bucket", "i", "j", "t", "node", "core", "rows", "unit", "buckets").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = materialize(groups.mapInArrow(compare, "node long, n long, other long"))
     edges = found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).unionByName(cores.select(F.col("node").alias("a"), F.col("core").alias("b")))
-    parts = materialize(edges_to_components(edges))
+    parts = components_of(edges)
     cored = cores.join(named.select("node", "rows"), "node")
     whole = materialize(cored.groupBy("core").agg(F.sum("rows").alias("n")))
     inside = cored.join(whole, "core").select("node", (F.col("n") - F.col("rows")).alias("n"))

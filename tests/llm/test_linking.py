@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexspark.llm import embedding_dedup, queries
-from lexspark.llm.common import edges_to_components
+from lexspark.llm.common import components_of, edges_to_components
 from lexspark.llm.linking import link_buckets
 
 
@@ -26,6 +26,24 @@ def components(nodes, linked):
     return {n: top(n) for n in nodes}
 
 
+def test_components_by_one_task_and_by_rounds(spark):
+    """Random edges, a chain, a star, loops and repeated edges, contracted whole, in parts that one task finishes, and in
+    parts that the rounds finish."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(220)] + [(500 + i, 501 + i) for i in range(90)] + [(700, 701 + i) for i in range(90)] + [(900, 900), (700, 701)]
+    part = {}
+    top = lambda n: n if part.get(n, n) == n else top(part[n])
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        part[y] = x
+    wanted = {n: top(n) for a, b in edges if a != b for n in (a, b)}
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for alone in (1 << 20, 300, 40):
+        got = components_of(rows, alone).collect()
+        assert len(got) == len(wanted) and {r.node: r.component for r in got} == wanted
+    assert components_of(rows.limit(0)).collect() == []
+
+
 def test_buckets_are_linked_by_rounds(spark):
     """Chains: few members are near the leader, a near pair shares one bucket, and finer buckets hold near ones together."""
     rng = random.Random(3)
