@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidRequestError
 from ..functions import requests, scripts, search
 from ..operators import language, matching, redaction
-from ..options import Normalization, SearchOptions, WordBoundary
+from ..options import MAX_TEXT_LENGTH, Normalization, SearchOptions, WordBoundary
 from ..sources.dictionaries import VersionedDictionary, cumulative_tiers, words_in, words_out
 from ..streaming.scanner import chunks, scan_chunks
 from . import pipelines
@@ -320,9 +320,9 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", F.length("text").alias("code_points"), (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("int").alias("utf16"), F.lower("text").alias("lower"))
 
 
-@query("req_validate", "SELECT doc_id, CASE WHEN length(text) > 4096 THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status FROM documents")
+@query("req_validate", f"SELECT doc_id, CASE WHEN length(text) > {MAX_TEXT_LENGTH} THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status FROM documents")
 def _(spark, d):
-    return documents(spark, d).select("doc_id", requests.status(F.col("text"), 4096).alias("status"))
+    return documents(spark, d).select("doc_id", requests.status(F.col("text")).alias("status"))
 
 
 @query("dict_tiers", "SELECT t.threshold, n_name AS word FROM nation JOIN (VALUES ('LOW', 0), ('MIDDLE', 1), ('HIGH', 2)) t(threshold, r) ON n_regionkey % 3 >= r")
@@ -347,11 +347,11 @@ def _(spark, d):
     return v.rollback()
 
 
-@query("pipe_moderate", f"""SELECT doc_id, CASE WHEN length(text) > 20000 THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status, CASE WHEN length(text) <= 20000 THEN len(regexp_extract_all(text, 'Licensed|tion')) END AS n_keywords,
-    CASE WHEN length(text) <= 20000 THEN len(regexp_extract_all(text, '{_EMAIL}')) END AS n_email, CASE WHEN length(text) <= 20000 THEN len(regexp_extract_all(text, '{_PHONE}')) END AS n_phone,
-    CASE WHEN length(text) <= 20000 THEN length(text) - length(replace(text, '*', '')) + coalesce(list_sum(list_transform(list_concat(regexp_extract_all(text, '{_EMAIL}'), regexp_extract_all(text, '{_PHONE}')), lambda x: length(x))), 0)::BIGINT END AS n_masked FROM documents""")
+@query("pipe_moderate", f"""SELECT doc_id, CASE WHEN length(text) > {MAX_TEXT_LENGTH} THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status, CASE WHEN length(text) <= {MAX_TEXT_LENGTH} THEN len(regexp_extract_all(text, 'Licensed|tion')) END AS n_keywords,
+    CASE WHEN length(text) <= {MAX_TEXT_LENGTH} THEN len(regexp_extract_all(text, '{_EMAIL}')) END AS n_email, CASE WHEN length(text) <= {MAX_TEXT_LENGTH} THEN len(regexp_extract_all(text, '{_PHONE}')) END AS n_phone,
+    CASE WHEN length(text) <= {MAX_TEXT_LENGTH} THEN length(text) - length(replace(text, '*', '')) + coalesce(list_sum(list_transform(list_concat(regexp_extract_all(text, '{_EMAIL}'), regexp_extract_all(text, '{_PHONE}')), lambda x: length(x))), 0)::BIGINT END AS n_masked FROM documents""")
 def _(spark, d):
-    return pipelines.moderate(documents(spark, d), ["Licensed", "tion"], limit=20_000)
+    return pipelines.moderate(documents(spark, d), ["Licensed", "tion"])
 
 
 @query("pipe_risk_alert", f"""WITH {_positions(["Licensed", "tion", "the"])}, f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start, length(keyword) DESC) = 1)
@@ -360,9 +360,9 @@ def _(spark, d):
     return pipelines.risk_alerts(documents(spark, d), {"Licensed": "L1", "tion": "T1", "the": "T2"})
 
 
-@query("pipe_safety", "SELECT CASE WHEN length(text) > 4096 THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status, count(*) AS n FROM documents GROUP BY 1")
+@query("pipe_safety", f"SELECT CASE WHEN length(text) > {MAX_TEXT_LENGTH} THEN 413 WHEN trim(text) = '' THEN 400 ELSE 200 END AS status, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, d):
-    return pipelines.request_statuses(documents(spark, d), 4096)
+    return pipelines.request_statuses(documents(spark, d))
 
 
 @query("pipe_mixed_language", r"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS s FROM documents) SELECT doc_id, 'MODEL' AS language, count(*) AS runs, sum(length(s))::BIGINT AS letters FROM r GROUP BY doc_id")
