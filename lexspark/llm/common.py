@@ -91,6 +91,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def edges_to_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of edges (a long, b long): one row per node, (node, component), component = smallest node.
 

@@ -1,4 +1,5 @@
-"""Linking all that is near within buckets, by rounds of leaders, without listing the pairs of what is linked already."""
+"""Linking all that is near within buckets, by rounds of leaders, without listing the pairs of what is linked already, and by
+comparing all that the rounds leave apart in large buckets."""
 
 from __future__ import annotations
 
@@ -15,37 +16,40 @@ SMALL = 16
 ROUNDS, LEVELS = 2, 40
 
 
-def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """a, b: edges between near nodes that share buckets.
+def link_buckets(
+    rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, int], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """a, b: edges between near nodes that share buckets; near nodes that share a bucket are in one component of them.
 
     rows: bucket long, node long. In each round every member of a bucket meets one leader of it, unless they are linked
     already (verify: distinct pairs a, b -> a, b, ok). A bucket is done when its members are in one component; one of SMALL
     members or fewer has its pairs compared after the first round. The members of larger ones are dealt into finer buckets
-    after ROUNDS rounds (refine: node, level from 0 on -> bucket, node), in which near ones should meet again and which must
-    shrink from level to level; those alone in theirs are done. So the rows of a round are in proportion to those of its
-    buckets, however large a bucket is. A repeated row costs a comparison of its own; no rows give no edges. Raises if large
-    buckets are left after LEVELS levels.
+    after ROUNDS rounds (refine: node, level from 0 on -> bucket, node), in which near ones should meet again and which
+    should shrink from level to level; those alone in theirs are done, and so are all after LEVELS levels. So the rows of a
+    round are in proportion to those of its buckets, however large a bucket is. Finer buckets may part what is near: last,
+    of the large buckets that still hold several components, every pair of these is compared that has not met (possible:
+    bucket, node, component -> pairs a > b with no near one left out; without it all such pairs are listed). A repeated row
+    costs a comparison of its own; no rows give no edges.
     """
     spark = rows.sparkSession
     own = rows.select("bucket", "node")
     sizes = materialize(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
     own = materialize(own.join(sized(sizes), "bucket").select("bucket", "node", F.col("node").alias("component")))
     discard(sizes)
-    links, met = [], []
+    links, met, large = [], [], None
     for k in range(ROUNDS * LEVELS):
         live = _live(own)
         if live.isEmpty():
             discard(live)
             break
+        if k == ROUNDS:
+            large = materialize(live.select("bucket", "node"))
         if k and k % ROUNDS == 0:
             nodes = materialize(live.select("node", "component").distinct())
             own = materialize(refine(nodes.select("node"), k // ROUNDS - 1).join(nodes, "node").select("bucket", "node", "component"))
             discard(live, nodes)
             live = _live(own)
-        pairs = _pairs(live, k)
-        if met:
-            pairs = pairs.join(together(met).select("a", "b"), ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(_unmet(_pairs(live, k), met))
         met.append(pairs)
         ok = materialize(verify(pairs).where("ok").select("a", "b"))
         links.append(ok)
@@ -55,11 +59,31 @@ def link_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], refi
         own = materialize(left.select("bucket", "node", F.coalesce("to", "component").alias("component")))
         discard(live, parts)
     else:
-        raise RuntimeError("the buckets have not been exhausted")
+        discard(own)
+    if large is not None:
+        parts = components_of(together(links))
+        live = _live(materialize(large.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))))
+        left = possible(live.drop("n")) if possible else _listed(live).select("a", "b")
+        left = materialize(_unmet(left.distinct(), met))
+        links.append(materialize(verify(left).where("ok").select("a", "b")))
+        discard(large, parts, live, left)
     discard(*met)
     return together(links) if links else spark.createDataFrame([], "a long, b long")
 
 
+def _unmet(pairs: DataFrame, met: list[DataFrame]) -> DataFrame:
+    return pairs.join(together(met).select("a", "b"), ["a", "b"], "left_anti") if met else pairs
+
+
+def _side(rows: DataFrame, node: str, part: str) -> DataFrame:
+    return rows.select("bucket", F.col("node").alias(node), F.col("component").alias(part))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """All pairs a > b of the buckets of different components ca, cb."""
+    return _side(rows, "a", "ca").join(_side(rows, "b", "cb"), "bucket").where("a > b and ca <> cb")
+
+
 def _live(own: DataFrame) -> DataFrame:
     """own (bucket, node, component), which is deleted, with n, the number of the bucket's nodes, where the bucket holds
     several components."""
@@ -78,9 +102,7 @@ def _pairs(live: DataFrame, k: int) -> DataFrame:
     # the same nodes lead in all buckets that they share, so that a pair is seldom met twice
     order = F.xxhash64("node", F.lit(k)) if k else F.col("node")
     leaders = materialize(large.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("l")).select("bucket", F.col("l.node").alias("b"), F.col("l.component").alias("cb")))
-    side = lambda df, node, part: df.select("bucket", F.col("node").alias(node), F.col("component").alias(part))
-    found = side(large, "a", "ca").join(leaders, "bucket").where("ca <> cb and a <> b")
-    found = found.unionByName(side(small, "a", "ca").join(side(small, "b", "cb"), "bucket").where("a > b and ca <> cb"))
+    found = _side(large, "a", "ca").join(leaders, "bucket").where("ca <> cb and a <> b").unionByName(_listed(small))
     swap = F.col("a") < F.col("b")
     return found.select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb")

@@ -4,7 +4,7 @@ Shingles of WORDS words are labelled with their occurrence number; a sketch is t
 hash function, in the order in which they stand in the text. Texts of up to SHORT words, where a change can hit most
 shingles, have SHORT_SKETCHES further ones of single words. Texts that share a sketch are candidates; a candidate pair is
 near when its words' edit similarity, 1 - distance / longer length, is SIMILARITY or more. Groups are the connected
-components of near pairs.
+components of near pairs: whatever the size of a bucket, near texts that share it come into one group.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alignment import within
-from .common import components_of, discard, materialize, sized, spread, table
+from .common import components_of, discard, materialize, sized, slices, spread, table
 from .linking import link_buckets
+from .overlap import mark, possible
 
 WORDS, SKETCHES, LENGTH, SIMILARITY = 5, 96, 2, 0.8
 SHORT, SHORT_SKETCHES = 50, 24
@@ -108,14 +109,12 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, tag) with the words of the text joined by blanks, their digest and the sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                own = [words(t) for t in part.column(1).to_pylist()]
-                texts = [" ".join(w) for w in own]
-                sha = [hashlib.sha256(t.encode()).digest() for t in texts]
-                keys = [sketch(w) if w else np.zeros(0, dtype=np.int64) for w in own]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(sha, pa.binary()), pa.array(keys, pa.list_(pa.int64())), part.column(2)], ["doc_id", "text", "sha", "keys", "tag"])
+        for part in slices(batches):
+            own = [words(t) for t in part.column(1).to_pylist()]
+            texts = [" ".join(w) for w in own]
+            sha = [hashlib.sha256(t.encode()).digest() for t in texts]
+            keys = [sketch(w) if w else np.zeros(0, dtype=np.int64) for w in own]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(sha, pa.binary()), pa.array(keys, pa.list_(pa.int64())), part.column(2)], ["doc_id", "text", "sha", "keys", "tag"])
 
     return docs.mapInArrow(run, "doc_id long, text string, sha binary, keys array<long>, tag long")
 
@@ -132,8 +131,14 @@ class _Texts:
 
     def narrow(self, nodes: DataFrame) -> None:
         self.rows = self.of(nodes)
-        discard(*self.written)
-        self.written = [self.rows]
+        discard(*self.written[1:])
+        self.written = [*self.written[:1], self.rows]
+
+    def widen(self) -> None:
+        """Back to the texts of the first narrowing."""
+        self.rows = self.written[0]
+        discard(*self.written[1:])
+        self.written = self.written[:1]
 
 
 def _verifier(texts: _Texts) -> Callable[[DataFrame], DataFrame]:
@@ -141,7 +146,7 @@ def _verifier(texts: _Texts) -> Callable[[DataFrame], DataFrame]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, []
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if y != last:  # pairs come by leader
@@ -172,10 +177,9 @@ def _refiner(texts: _Texts) -> Callable[[DataFrame, int], DataFrame]:
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(SLOTS, dtype=np.int64)
-            for batch in batches:
-                for at in range(0, len(batch), 512):
-                    each = [shingles(t.split(), 2) for t in batch.column(1).slice(at, 512).to_pylist() if t]
-                    total += np.bincount((np.concatenate(each) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+            for part in slices(batches):
+                each = [shingles(t.split(), 2) for t in part.column(1).to_pylist() if t]
+                total += np.bincount((np.concatenate(each) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
             slots = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
 
@@ -188,7 +192,7 @@ def _refiner(texts: _Texts) -> Callable[[DataFrame, int], DataFrame]:
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             often = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 keys = []
                 for text in batch.column(1).to_pylist():
                     pairs = shingles(text.split(), 2) if text else np.zeros(1, dtype=np.uint64)
@@ -201,6 +205,26 @@ def _refiner(texts: _Texts) -> Callable[[DataFrame, int], DataFrame]:
     return refine
 
 
+def _comparer(texts: _Texts) -> Callable[[DataFrame], DataFrame]:
+    """For bucket, node, component: the pairs a, b of different components that may be near."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            own = [t.split() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, own), pa.int64()), pa.array([mark(shingles(w, 1)) for w in own], pa.binary())], ["node", "n", "mark"])
+
+    def compare(rows: DataFrame) -> DataFrame:
+        texts.widen()
+        nodes = materialize(rows.select("node").distinct())
+        own = texts.of(nodes)
+        marked = materialize(own.mapInArrow(marks, "node long, n long, mark binary"))
+        discard(nodes, own)
+        texts.written.append(marked)
+        return possible(rows, marked, SIMILARITY)
+
+    return compare
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, tag) as written tables (doc_id, uid, component, tag) and (component, first, group_size)."""
     base = materialize(_sketches(docs).withColumn("uid", F.monotonically_increasing_id()))
@@ -209,7 +233,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = base.select("uid", "keys").join(sized(copies), "uid", "left_anti").select(F.posexplode("keys").alias("table", "key"), F.col("uid").alias("node"))
     rows = rows.select(F.xxhash64("table", "key").alias("bucket"), "node")
     texts = _Texts(base.select(F.col("uid").alias("node"), "text"))
-    found = link_buckets(rows, _verifier(texts), _refiner(texts))
+    found = link_buckets(rows, _verifier(texts), _refiner(texts), _comparer(texts))
     parts = components_of(found)
     groups = materialize(classes.join(parts, "node", "left").select("sha", F.coalesce("component", "node").alias("component")))
     placed = materialize(base.select("doc_id", "uid", "sha", "tag").join(groups, "sha").select("doc_id", "uid", "component", "tag"))
