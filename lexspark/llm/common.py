@@ -31,11 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of an Arrow batch at most while a table is written: both sides of a Python worker hold a batch of whole texts.
+BATCH_ROWS = 1000
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once into the shared folder and reads it back: the lineage ends there, so a lost executor costs a
     re-read, and random or order-dependent columns keep their values."""
     path = f"{shared_dir(df.sparkSession)}/lexspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(conf.get(name))
+    conf.set(name, str(BATCH_ROWS if before <= 0 else min(before, BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, str(before))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = [path]
     return out

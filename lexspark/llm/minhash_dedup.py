@@ -35,7 +35,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
         return h

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize, spread, table
+from .common import materialize, slices, spread, table
 from .pretokens import UNUSUAL
 
 Pattern = tuple[tuple[int, ...], int]
@@ -179,7 +179,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode(text or "")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import BoostedTrees
-from .common import spread, table
+from .common import slices, spread, table
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
@@ -253,7 +253,7 @@ def redact(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             got = find_spans([t or "" for t in texts], shared.value)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, spread, table
+from .common import materialize, slices, spread, table
 
 #: Labelled documents that are learnt from at most, about; the choice is by hash of the id.
 MAX_LABELLED = 60_000
@@ -89,7 +89,7 @@ class Toxicity:
         get = self.cache.get
         out = list(map(get, words))
         if None in out:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 100_000:
                 self.cache.clear()
             for i, s in enumerate(out):
                 if s is None:
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1) -> To
                 c.clear()
             return pa.RecordBatch.from_arrays(columns, ["word", "n", "clean", "toxic"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text or "")
                 everywhere.update(words)
@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Toxicity, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             p, n = [], []
             for text in batch.column(at).to_pylist():
