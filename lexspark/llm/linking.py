@@ -32,10 +32,7 @@ def link_buckets(
     costs a comparison of its own; no rows give no edges.
     """
     spark = rows.sparkSession
-    own = rows.select("bucket", "node")
-    sizes = materialize(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    own = materialize(own.join(sized(sizes), "bucket").select("bucket", "node", F.col("node").alias("component")))
-    discard(sizes)
+    own = _shared(rows.select("bucket", "node"))
     links, met, large = [], [], None
     for k in range(ROUNDS * LEVELS):
         live = _live(own)
@@ -46,7 +43,7 @@ def link_buckets(
             large = materialize(live.select("bucket", "node"))
         if k and k % ROUNDS == 0:
             nodes = materialize(live.select("node", "component").distinct())
-            own = materialize(refine(nodes.select("node"), k // ROUNDS - 1).join(nodes, "node").select("bucket", "node", "component"))
+            own = _shared(refine(nodes.select("node"), k // ROUNDS - 1).select("bucket", "node"), nodes)
             discard(live, nodes)
             live = _live(own)
         pairs = materialize(_unmet(_pairs(live, k), met))
@@ -71,6 +68,17 @@ def link_buckets(
     return together(links) if links else spark.createDataFrame([], "a long, b long")
 
 
+def _shared(rows: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """rows (bucket, node) of the buckets with several rows, and the component: by parts (node, component), or the node. Most
+    finer buckets hold one node, so only what is left is joined with parts."""
+    sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    some = rows.join(sized(sizes), "bucket")
+    some = some.join(parts, "node") if parts is not None else some.withColumn("component", F.col("node"))
+    out = materialize(some.select("bucket", "node", "component"))
+    discard(sizes)
+    return out
+
+
 def _unmet(pairs: DataFrame, met: list[DataFrame]) -> DataFrame:
     return pairs.join(together(met).select("a", "b"), ["a", "b"], "left_anti") if met else pairs
 

@@ -103,7 +103,7 @@ def possible(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     some bit operations and no row.
     """
     lists = rows.groupBy("node", "component").agg(F.sort_array(F.collect_list("bucket")).alias("buckets")).join(marks, "node")
-    of = rows.join(marks.select("node", F.length("mark").alias("size")), "node").groupBy("bucket")
+    of = lists.select(F.explode("buckets").alias("bucket"), F.length("mark").alias("size")).groupBy("bucket")
     of = of.agg(F.greatest(F.least(F.ceil(F.count(F.lit(1)) / TILE), F.lit(TILES)), F.ceil(F.sum("size") / TILE_BYTES)).cast("int").alias("blocks"))
     dealt = lists.select("*", F.posexplode("buckets").alias("place", "bucket")).join(of, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("lower", F.slice("buckets", F.lit(1), F.col("place"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
